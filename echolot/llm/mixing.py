@@ -6,7 +6,7 @@ epochs first, then on documents in the order of their keys while their prefix su
 source into one task: keys map to (0, 1), sources are cut there into buckets of about bucket_rows documents, the
 buckets' sums are summed up in order, and the running sum within a bucket finishes it. In the bucket where the budget
 runs out, later documents that still fit are taken in up to three more passes over the same window, so a long
-document at the border costs little.
+document at the border costs little; then one more document is taken if that comes nearer to the budget.
 
 Only the sources' totals, one row for each source, meet in one task. A null source is a source of its own, last.
 A null or empty text has size 0; it is in every complete epoch and takes nothing. Equal keys are ordered by doc_id;
@@ -86,6 +86,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         d = d.withColumn("sum", F.when(fits, F.sum(F.when(fits, F.col("size"))).over(order)))
         more = F.coalesce(F.col("sum") <= F.col("room"), F.lit(False))
         d = d.withColumn("in", F.col("in") | more).withColumn("room", F.col("room") - F.coalesce(F.max(F.when(more, F.col("sum"))).over(own), F.lit(0)))
+    # last, one more document if that comes nearer: the one that leaves or exceeds least
+    gap = F.when(~F.col("in") & (F.col("size") < 2 * F.col("room")), F.abs(F.col("size") - F.col("room")))
+    last = F.row_number().over(own.orderBy(gap.asc_nulls_last(), "key", "doc_id"))
+    d = d.withColumn("in", F.col("in") | ((last == 1) & gap.isNotNull()))
     copies = F.col("epochs") + F.col("in").cast("long")
     return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "carry")
 

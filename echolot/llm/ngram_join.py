@@ -306,7 +306,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
     edges = None
     for k in range(slices):
-        own = reps.select("uid", F.explode(F.filter("keys", lambda x, k=k: F.pmod(x, F.lit(slices)) == k) if slices > 1 else "keys").alias("key"))
+        turn = F.expr(f"filter(keys, x -> pmod(x, {slices}) = {k})") if slices > 1 else F.col("keys")
+        own = reps.select("uid", F.explode(turn).alias("key"))
         met = own.repartition("key").sortWithinPartitions("key", "uid").mapInPandas(chain, "a long, b long")
         met = materialize(met, "tiles", spent)
         edges = met if edges is None else edges.union(met)
