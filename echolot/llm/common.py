@@ -20,11 +20,19 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it; elsewhere pass it by --py-files."""
+    """Python workers find this package where the driver found it; elsewhere pass it by --py-files.
+
+    Arrow batches are bounded by bytes, unless the session has a bound of its own: texts may be long.
+    """
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(2**22))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +57,7 @@ def materialize(df: DataFrame, tag: str, paths: list[str] | None = None) -> Data
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost one stage."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if paths is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,14 +25,16 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WS_RUN, " ")
 
 
-def exact_dedup(docs: DataFrame, carry: list[Column] | None = None, first_width: int = 64, widen: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each input row: uid, doc_id, keep_id, group_size, kept and the columns carry, computed from docs."""
+def exact_dedup(docs: DataFrame, carry: list[str] | None = None, made: list[Column] | None = None, first_width: int = 64, widen: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each input row: uid, doc_id, keep_id, group_size, kept, carry (a struct of columns of docs) and made.
+
+    made: columns over _text, the text as given, and carry; they are computed before rows meet their verdicts.
+    """
     spark = docs.sparkSession
-    carry = carry or []
     rows = materialize(docs.select(
-        F.col(id_col).cast("long").alias("_id"), normalized(F.col(text_col)).cast("binary").alias("_norm"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"),
+        F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry or []]).alias("carry"),
     ).withColumn("_uid", F.monotonically_increasing_id()), "radix-rows")
-    state = rows.select("_uid", "_id", F.lit(0).cast("long").alias("gid"), F.col("_norm").alias("rest"))
+    state = rows.select("_uid", "_id", F.lit(0).cast("long").alias("gid"), normalized(F.col("_text")).cast("binary").alias("rest"))
     done, spent, width = [], [], first_width
     while True:
         keyed = state.select("_uid", "_id", "gid", F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended"), F.substring("rest", width + 1, 2**31 - 1).alias("rest"))
@@ -47,18 +49,21 @@ def exact_dedup(docs: DataFrame, carry: list[Column] | None = None, first_width:
         width *= widen
     members = materialize(reduce(DataFrame.union, done), "radix-members")
     drop_paths(spark, spent)
-    out = rows.select("_uid", "_id", "_carry").join(members, "_uid", "left")
+    made = made or []
+    out = rows.select("_uid", "_id", "carry", *made).join(members, "_uid", "left")
     return out.select(
         F.col("_uid").alias("uid"), F.col("_id").alias("doc_id"), F.when(F.col("keep_uid").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.coalesce("keep_uid", "_uid") == F.col("_uid")).alias("kept"), "_carry")
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.coalesce("keep_uid", "_uid") == F.col("_uid")).alias("kept"), *[c for c in out.columns[2:] if c in ("carry", "_text", "text_sha256")])
 
 
 def exact_dedup_digests(docs: DataFrame) -> DataFrame:
     """exact_dedup with the SHA-256 of the normalised text."""
-    d = exact_dedup(docs, [F.sha2(normalized(F.col("text")), 256).alias("sha")])
-    return d.select("doc_id", "keep_id", "group_size", "kept", F.col("_carry.sha").alias("text_sha256"))
+    d = exact_dedup(docs, made=[F.sha2(normalized(F.col("_text")), 256).alias("text_sha256")])
+    return d.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the copies; original texts and columns stay."""
-    return exact_dedup(docs, [F.struct("*").alias("row")]).where("kept").select("_carry.row.*")
+    names = docs.columns
+    kept = exact_dedup(docs, carry=[c for c in names if c != "text"], made=[F.col("_text")]).where("kept")
+    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"carry.`{c}`").alias(c) for c in names])

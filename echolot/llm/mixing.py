@@ -65,7 +65,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key.alias("key"),
         F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carry"))
-    d = materialize(d, "mix")
+    rows = materialize(d.withColumn("uid", F.monotonically_increasing_id()), "mix")
+    d = rows.drop("carry")  # slim rows are sorted and summed; what they carry meets them at the end
     totals = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = materialize(targets(totals.select("source", "source_size"), weights, share, most).join(
         totals.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-plan")
@@ -91,7 +92,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     last = F.row_number().over(own.orderBy(gap.asc_nulls_last(), "key", "doc_id"))
     d = d.withColumn("in", F.col("in") | ((last == 1) & gap.isNotNull()))
     copies = F.col("epochs") + F.col("in").cast("long")
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "carry")
+    d = d.select("uid", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return d.join(rows.select("uid", "carry"), "uid").drop("uid") if carry else d.drop("uid")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

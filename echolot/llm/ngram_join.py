@@ -9,8 +9,8 @@ the same shingles in both. Sizes fall into classes as wide as the threshold allo
 set goes to the tile (class, group, content of the group) of each of its groups, for its own class and the next. Sets
 that link share a tile, unless all groups they share are empty; sets with that many empty groups share one tile of
 their class. So tiles lose no link, their number follows the input, and a passage that many documents share fills no
-group by itself. Sets that meet in tiles are chained into families: sorted runs are read as a stream, and no pairs
-are made.
+group by itself. Tiles are read as a stream of sorted rows, each content is kept once, and in a tile the points'
+summed minima decide which sets belong to one family; a very large tile is one family. No rows are made for pairs.
 
 The lower storey is built within families. Families of more than leaf sets are packed into leaves by size class, then
 first and second coordinate (sort-tile-recursive); a leaf's bounding box gives the largest coordinates, whose summed
@@ -28,6 +28,7 @@ other ids. Rows that repeat a doc_id are nodes by their sets. Other columns are
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -41,6 +42,8 @@ from .common import ASCII_LOWER, NONE, Forest, components, drop_paths, hide_null
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 DIMS = 64
+#: Sets in a tile that is looked at by itself.
+TILE = 4096
 LEAF = 256
 
 
@@ -70,12 +73,20 @@ def size_classes(num: int, den: int, upto: int = 2**26) -> np.ndarray:
     return np.array(at, np.int64)
 
 
+@functools.lru_cache(maxsize=None)
 def groups_of(cls: int, num: int, den: int) -> tuple[int, int]:
     """The number of groups for links whose larger set is in cls, and of them the spare ones."""
-    most = int(size_classes(num, den)[cls + 1]) - 1
+    starts = size_classes(num, den)
+    most, least = int(starts[cls + 1]) - 1, int(starts[max(cls - 1, 0)])
     d = 2 * most * (den - num) // (den + num)
-    spare = int(2 * d * np.exp(-(den + num) / (2 * (den - num)))) + 2 * (d >= 20)
-    return (d + 1 + spare if d else 0), spare
+    if not d:
+        return 0, 0
+    spare = 2
+    for _ in range(20):  # the smallest sets of the class leave most groups empty: nearly all have no more than the spare
+        m = d + 1 + spare
+        empty = m * np.exp(-least / m)
+        spare = int(empty + 4 * np.sqrt(empty)) + 2
+    return d + 1 + spare, spare
 
 
 def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -99,17 +110,32 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def point(s: np.ndarray) -> bytes:
-    """Counts of the groups, at most 255: capping can only shorten distances."""
-    return np.minimum(np.bincount((mix64(s ^ np.uint64(0xA5A5A5A5)) & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS), 255).astype(np.uint8).tobytes()
+def point(s: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Counts of dims groups, a power of two, at most 255: capping can only shorten distances."""
+    return np.minimum(np.bincount((mix64(s ^ np.uint64(0xA5A5A5A5)) & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 255).astype(np.uint8)
+
+
+def fine_dims(n: int) -> int:
+    """About eight shingles a group, which keeps the bound as sharp for long texts as for short ones."""
+    return min(max(DIMS, 1 << max(0, (n // 8).bit_length())), 8192)
 
 
-def _sum_min(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each pair of rows the distance |a| + |b| less twice the summed minima, over capped counts."""
+def folded(points: list[bytes]) -> np.ndarray:
+    """The points at the resolution of the coarsest."""
+    dims = min(map(len, points))
+    out = np.empty((len(points), dims), np.uint8)
+    for k, x in enumerate(points):
+        v = np.frombuffer(x, np.uint8)
+        out[k] = v if len(v) == dims else np.minimum(v.reshape(-1, dims).sum(0, dtype=np.int64), 255)
+    return out
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows |a| + |b| less twice the summed minima."""
     out = np.zeros((len(a), len(b)), np.int32)
-    a, b = a.astype(np.int16), b.astype(np.int16)
-    for d in range(DIMS):
-        out += np.abs(a[:, d, None] - b[None, :, d])
+    a, b = a.T.astype(np.int16), b.T.astype(np.int16)
+    for x, y in zip(a, b, strict=True):
+        out += np.abs(x[:, None] - y[None, :])
     return out
 
 
@@ -120,7 +146,7 @@ def may_link(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, num:
     if not sizes.any():
         return sizes
     # overlap <= (|A| + |B| - distance) / 2
-    return sizes & ((total - _sum_min(a, b)) * (num + den) >= 2 * num * total)
+    return sizes & ((total - _distance(a, b)) * (num + den) >= 2 * num * total)
 
 
 def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -150,14 +176,19 @@ def forest_of(uids: np.ndarray, n: np.ndarray, points: np.ndarray, side: np.ndar
 
     Without sets, links are what the bound lets through.
     """
+    if len(uids) == 2 and sets is None and not side.any():
+        few, many = sorted(n.tolist())
+        need = (few + many - int(np.abs(points[0].astype(np.int16) - points[1]).sum())) * (num + den) >= 2 * num * (few + many)
+        return [(int(uids[0]), int(uids[1]))] if need and few * den >= many * num else []
     a = np.flatnonzero(side == 0)
     b = np.flatnonzero(side == 1) if (side == 1).any() else a
-    ok = may_link(n[a], points[a], n[b], points[b], num, den)
-    if b is a:
-        ok = np.triu(ok, 1)
-    i, j = np.nonzero(ok)
-    i, j = a[i], b[j]
-    f, out = Forest(len(uids)), []
+    f, out, found = Forest(len(uids)), [], []
+    for at in range(0, len(a), 512):
+        i, j = np.nonzero(may_link(n[a[at : at + 512]], points[a[at : at + 512]], n[b], points[b], num, den))
+        if b is a:
+            i, j = i[j > i + at], j[j > i + at]
+        found.append(np.stack([a[i + at], b[j]]))
+    i, j = np.concatenate(found, 1)
 
     def take(x: np.ndarray, y: np.ndarray) -> None:
         out.extend((int(uids[p]), int(uids[q])) for p, q in zip(x.tolist(), y.tolist(), strict=True) if f.join(p, q))
@@ -207,17 +238,65 @@ def _in_leaves(num: int, den: int, with_sets: bool):
             root, task = pdf["root"].to_numpy(), pdf["task"].to_numpy()
             ends = np.flatnonzero(np.concatenate([(root[1:] != root[:-1]) | (task[1:] != task[:-1]), [True]])) + 1
             uids, n, side = pdf["uid"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy()
-            points = np.frombuffer(b"".join(pdf["vec"]), np.uint8).reshape(-1, DIMS)
+            points = pdf["fine"].tolist()
             blobs = pdf["set"].tolist() if with_sets else None
             at = 0
             for end in ends.tolist():
                 sets = [np.frombuffer(x, np.uint64) for x in blobs[at:end]] if with_sets else None
-                out += forest_of(uids[at:end], n[at:end], points[at:end], side[at:end], sets, num, den)
+                out += forest_of(uids[at:end], n[at:end], folded(points[at:end]), side[at:end], sets, num, den)
                 at = end
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
     return run
 
 
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (key, uid) sorted by both become the tiles of two sets or more, each content once: (a: tile, b: uid).
+
+    Sets that are alike share many keys and so many equal tiles; a tile is named by its content and named again in
+    this stream only after many others. A tile of over TILE sets isn't held: they are chained to its first, as rows
+    (a: uid, b: first uid, chained).
+    """
+    seen = np.zeros(0, np.uint64)
+    left, over = None, None
+    for pdf in itertools.chain(batches, [None]):
+        if pdf is None:
+            if left is None:
+                break
+            k, u = left
+            cut = len(k)
+        else:
+            k, u = pdf["key"].to_numpy(), pdf["uid"].to_numpy()
+            if over is not None:
+                more = k == over[0]
+                if more.any():
+                    yield pd.DataFrame({"a": u[more], "b": over[1], "chained": True})
+                k, u = k[~more], u[~more]
+            if left is not None:
+                k, u = np.concatenate([left[0], k]), np.concatenate([left[1], u])
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1]))
+        left = None if pdf is None else (k[cut:], u[cut:])
+        k, u = k[:cut], u[:cut]
+        if left is not None and len(left[0]) > TILE:
+            over = (left[0][0], left[1][0])
+            yield pd.DataFrame({"a": left[1][1:], "b": over[1], "chained": True})
+            left = None
+        if not len(k):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.diff(np.append(starts, len(k)))
+        name = mix64(np.add.reduceat(mix64(u.astype(np.uint64)), starts) + n.astype(np.uint64))
+        met = np.flatnonzero(n > 1)
+        met = met[~np.isin(name[met], seen)]
+        met = met[np.unique(name[met], return_index=True)[1]]
+        if not len(met):
+            continue
+        seen = np.concatenate([seen, name[met]]) if len(seen) < 300_000 else name[met]
+        rows = np.repeat(starts[met], n[met]) + np.arange(n[met].sum()) - np.repeat(np.cumsum(n[met]) - n[met], n[met])
+        yield pd.DataFrame({"a": np.repeat(name[met], n[met]).astype(np.int64), "b": u[rows], "chained": False})
+
+
 def leaf_tasks(members: DataFrame, num: int, den: int, spent: list[str]) -> DataFrame:
     """root, task, side and uid: which sets meet where. members: root, uid, n, vec.
 
@@ -273,44 +352,29 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
             for i, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
                 s = shingle_set(text, width)
                 d = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((i, len(s), d, tile_keys(s, num, den).astype(np.int64) if len(s) else np.zeros(0, np.int64), point(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "sha", "keys", "vec"])
+                rows.append((i, len(s), d, tile_keys(s, num, den).astype(np.int64) if len(s) else np.zeros(0, np.int64), point(s).tobytes(), point(s, fine_dims(len(s))).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "sha", "keys", "vec", "fine"])
 
-    prof = materialize(docs.mapInPandas(profile, "doc_id long, n long, sha binary, keys array<long>, vec binary"), "profiles")
+    full: list[str] = []
+    prof = materialize(docs.mapInPandas(profile, "doc_id long, n long, sha binary, keys array<long>, vec binary, fine binary"), "profiles", full)
     low = F.min(F.when(F.col("doc_id") != NONE, F.col("doc_id"))).alias("low")
-    reps = materialize(prof.where("n > 0").groupBy("sha").agg(low, F.max("doc_id").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("vec").alias("vec")).withColumn(
+    reps = materialize(prof.where("n > 0").groupBy("sha").agg(low, F.max("doc_id").alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("keys", "vec", "fine")]).withColumn(
         "uid", F.monotonically_increasing_id()), "sets")
+    prof = materialize(prof.select("doc_id", "n", "sha"), "ids")
+    drop_paths(spark, full)
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle
 
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted by key and uid: each uid is chained to the first of its key."""
-        key = first = None
-        held: list[np.ndarray] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            k, u = pdf["key"].to_numpy(), pdf["uid"].to_numpy()
-            new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
-            heads = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            to = np.where(run < 0, -1 if first is None else first, u[heads[np.maximum(run, 0)]] if len(heads) else -1)
-            link = ~new & (u != to)
-            if link.any():
-                held.append(np.unique(np.stack([u[link], to[link]], 1), axis=0))
-            key, first = k[-1], to[-1]
-            if sum(map(len, held)) > 500_000:
-                held = [np.unique(np.concatenate(held), axis=0)]
-                if len(held[0]) > 250_000:
-                    yield pd.DataFrame(held.pop(), columns=["a", "b"])
-        if held:
-            yield pd.DataFrame(np.unique(np.concatenate(held), axis=0), columns=["a", "b"])
-
-    edges = None
+    found = None
     for k in range(slices):
         turn = F.expr(f"filter(keys, x -> pmod(x, {slices}) = {k})") if slices > 1 else F.col("keys")
-        own = reps.select("uid", F.explode(turn).alias("key"))
-        met = own.repartition("key").sortWithinPartitions("key", "uid").mapInPandas(chain, "a long, b long")
-        met = materialize(met, "tiles", spent)
-        edges = met if edges is None else edges.union(met)
+        keys = reps.select("uid", F.explode(turn).alias("key")).repartition("key").sortWithinPartitions("key", "uid")
+        met = materialize(keys.mapInPandas(_tiles, "a long, b long, chained boolean"), "tiles", spent)
+        spark.sparkContext._jvm.System.gc()  # lets go of the turn's shuffle
+        found = met if found is None else found.union(met)
+    tiles = found.where("not chained").select(F.col("a").alias("task"), F.col("b").alias("uid")).distinct()
+    tiles = tiles.join(reps.select("uid", "n", "fine"), "uid").select(F.lit(0).cast("long").alias("root"), "task", F.lit(0).alias("side"), "uid", "n", "fine")
+    edges = tiles.repartition("root", "task").sortWithinPartitions("root", "task").mapInPandas(_in_leaves(num, den, False), "a long, b long")
+    edges = edges.union(found.where("chained").select("a", "b"))
     members = components(edges, spent).select(F.col("id").alias("uid"), "root").join(reps.select("uid", "n", "vec"), "uid")
     members = materialize(members.select("root", "uid", "n", "vec"), "families", spent)
 
@@ -321,7 +385,7 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     large = members.groupBy("root").count().where(F.col("count") > LEAF).select("root")
     if not large.isEmpty():
         big = members.join(large, "root", "left_semi")
-        bound = tasks_with(big, reps.select("uid", "n", "vec")).mapInPandas(_in_leaves(num, den, False), "a long, b long")
+        bound = tasks_with(big, reps.select("uid", "n", "fine")).mapInPandas(_in_leaves(num, den, False), "a long, b long")
         parts = components(bound, spent).select(F.col("id").alias("uid"), "root").join(reps.select("uid", "n", "vec"), "uid")
         members = materialize(members.join(large, "root", "left_anti").union(parts.select("root", "uid", "n", "vec")), "families", spent)
 
@@ -331,11 +395,11 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
             for uid, sha, text in zip(pdf["uid"].tolist(), pdf["sha"], pdf["text"], strict=True):
                 s = shingle_set(text, width)
                 if xxhash.xxh3_128_digest(s.tobytes()) == bytes(sha):
-                    rows.append((uid, len(s), point(s), s.tobytes()))
-            yield pd.DataFrame(rows, columns=["uid", "n", "vec", "set"])
+                    rows.append((uid, len(s), point(s, fine_dims(len(s))).tobytes(), s.tobytes()))
+            yield pd.DataFrame(rows, columns=["uid", "n", "fine", "set"])
 
     wanted = members.join(members.groupBy("root").count().where("count > 1"), "root", "left_semi").select("uid").join(reps.select("uid", F.col("at").alias("doc_id"), "sha"), "uid")
-    sets = docs.join(wanted, "doc_id").select("uid", "sha", "text").mapInPandas(sets_of, "uid long, n long, vec binary, set binary").dropDuplicates(["uid"])
+    sets = docs.join(wanted, "doc_id").select("uid", "sha", "text").mapInPandas(sets_of, "uid long, n long, fine binary, set binary").dropDuplicates(["uid"])
     links = tasks_with(members, sets).mapInPandas(_in_leaves(num, den, True), "a long, b long")
     linked = components(links, spent).select(F.col("id").alias("uid"), "root")
     named = reps.select("uid", "sha", "low").join(linked, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
