@@ -12,6 +12,11 @@ EPS = 2.0**-52
 UNIX_DAY = 719529  # day number of 1970-01-01
 
 
+def micros(t: Column | str) -> Column:
+    """Microseconds of the epoch, of times with or without a zone."""
+    return F.unix_micros((F.col(t) if isinstance(t, str) else t).cast("timestamp"))
+
+
 def valid_signal(x: Column) -> Column:
     """non-empty, finite, not all zero, not all denormal, not constant."""
     size = F.coalesce(F.size(x), F.lit(0))
@@ -44,7 +49,7 @@ def time_from_stamp(stamp: Column) -> Column:
 
 def day_number(ts: Column) -> Column:
     """Days since year 0 with a fraction."""
-    return F.unix_micros(ts) / 86_400_000_000.0 + UNIX_DAY
+    return micros(ts) / 86_400_000_000.0 + UNIX_DAY
 
 
 def hour_of_day(day: Column) -> Column:
@@ -118,7 +123,7 @@ def linspace(lo: float, hi: float, n: int) -> Column:
 def event_time(start: Column, position: Column, samples: Column, fs: Column) -> Column:
     """Start + linspace(0, N / fs, N)[i] in microseconds; the step is (N / fs) / (N - 1)."""
     step = samples / fs / F.greatest(samples - 1, F.lit(1))
-    return F.timestamp_micros(F.unix_micros(start) + F.round((position - 1) * step * 1e6).cast("long"))
+    return F.timestamp_micros(micros(start) + F.round((position - 1) * step * 1e6).cast("long"))
 
 
 def context_window(start: Column, end: Column, least: Column, pad: Column, total: Column) -> tuple[Column, Column]:

@@ -37,7 +37,7 @@ def stitch(segments: DataFrame, by: str = "file", start: str = "start_bin", valu
     """Segments on a file's timeline, overlaps averaged, gaps 0."""
     x = segments.select(by, F.col(start).alias("_s"), F.posexplode(values).alias("_p", "_v"))
     seen = x.groupBy(by, (F.col("_s") + F.col("_p")).cast("long").alias("bin")).agg(F.avg("_v").alias("value"))
-    spine = segments.groupBy(by).agg(F.max(total).alias("_n")).select(by, F.explode(F.sequence(F.lit(1), F.col("_n"))).cast("long").alias("bin"))
+    spine = segments.groupBy(by).agg(F.max(total).alias("_n")).select(by, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))).alias("bin"))
     return spine.join(seen, [by, "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 

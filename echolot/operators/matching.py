@@ -8,47 +8,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import micros
+
 
 def align(a: np.ndarray, b: np.ndarray, tol: int) -> list[tuple[int, int]]:
     """Pairs (i, j) of sorted times that maximise the sum of 2 * tol - |a_i - b_j| over pairs within tol.
 
     Costs on a line have an optimal matching without crossings, so a banded alignment is exact. Ties go to the match.
     """
-    n, m = len(a), len(b)
-    lo, hi = np.searchsorted(b, a - tol), np.searchsorted(b, a + tol, side="right")
-    # best[j]: value of the first i of a with the first j of b; rows hold values at the ends of the band only
-    best = np.zeros(m + 1)
-    picks = []
-    for i in range(n):
-        l, h = int(lo[i]), int(hi[i])
+    lo, hi = np.searchsorted(b, a - tol).tolist(), np.searchsorted(b, a + tol, side="right").tolist()
+    # best[j]: value of the rows so far with the first j of b. Beyond the last band it is constant: those b are too far
+    best, top, rows = np.zeros(len(b) + 1, np.int64), 0, []
+    for i, (l, h) in enumerate(zip(lo, hi, strict=True)):
+        if h > top:
+            best[top + 1 : h + 1] = best[top]
+            top = h
+        old = best[l : h + 1].copy()
+        new = old.copy()
         if h > l:
-            old = best[l : h + 1].copy()
-            take = old[:-1] + 2 * tol - np.abs(b[l:h] - a[i])
-            new, run, choice = old.copy(), old[0], np.zeros(h - l, bool)
-            for k in range(h - l):
-                choice[k] = take[k] >= max(run, old[k + 1])
-                run = max(run, old[k + 1], take[k])
-                new[k + 1] = run
+            new[1:] = np.maximum(old[1:], old[:-1] + 2 * tol - np.abs(b[l:h] - a[i]))
+            new = np.maximum.accumulate(new)
             best[l : h + 1] = new
-            np.maximum.accumulate(best[h:], out=best[h:]) if h < m and best[h] > best[h + 1] else None
-            picks.append((l, old, new, choice, take))
-        else:
-            picks.append(None)
-    out, j = [], m
-    for i in range(n - 1, -1, -1):
-        p = picks[i]
-        if p is None:
+        rows.append((l, h, old, new))
+    out, j = [], len(b)
+    for i in range(len(a) - 1, -1, -1):
+        l, h, old, new = rows[i]
+        k = min(j, h) - l
+        if k <= 0 or new[k] == old[k]:
             continue
-        l, old, new, choice, take = p
-        k = min(j, l + len(choice)) - l
-        while k > 0:
-            if take[k - 1] == new[k] and take[k - 1] >= old[k]:
-                out.append((i, l + k - 1))
-                j = l + k - 1
-                break
-            if old[k] == new[k]:
-                break
+        while new[k - 1] == new[k]:
             k -= 1
+        j = l + k - 1
+        out.append((i, j))
     return out[::-1]
 
 
@@ -59,8 +50,8 @@ def match_events(detections: DataFrame, truth: DataFrame, tol_us: int, by: list[
     Components, not keys, are the unit of work, so a hot key spreads over tasks.
     """
     by = by or []
-    pts = detections.select(*by, F.unix_micros(d_time).alias("t"), F.col(d_id).alias("id"), F.lit(0).alias("side")).union(
-        truth.select(*by, F.unix_micros(t_time).alias("t"), F.col(t_id).alias("id"), F.lit(1).alias("side"))).where("t is not null")
+    pts = detections.select(*by, micros(d_time).alias("t"), F.col(d_id).alias("id"), F.lit(0).alias("side")).union(
+        truth.select(*by, micros(t_time).alias("t"), F.col(t_id).alias("id"), F.lit(1).alias("side"))).where("t is not null")
     w = Window.partitionBy(*by).orderBy("t", "side", "id")
     pts = pts.withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(w) > tol_us).cast("long"), F.lit(1))).withColumn(
         "component", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
@@ -84,10 +75,10 @@ def match_events(detections: DataFrame, truth: DataFrame, tol_us: int, by: list[
 
 def greedy_match(detections: DataFrame, truth: DataFrame, tol_us: int, by: str) -> DataFrame:
     """The nearest detection of each reference within tol, or none; a detection may serve several references."""
-    bucket = lambda t: F.floor(F.unix_micros(t) / tol_us)
+    bucket = lambda t: F.floor(micros(t) / tol_us)
     t = truth.withColumn("_b", F.explode(F.array(bucket("t_time") - 1, bucket("t_time"), bucket("t_time") + 1)))
     d = detections.withColumn("_b", bucket("d_time"))
-    gap = F.abs(F.unix_micros("t_time") - F.unix_micros("d_time"))
+    gap = F.abs(micros("t_time") - micros("d_time"))
     near = t.join(d, [by, "_b"]).withColumn("gap_us", gap).where(F.col("gap_us") <= tol_us)
     return near.groupBy("t_id").agg(F.min(F.struct("gap_us", "d_id")).alias("m")).select("t_id", F.col("m.d_id").alias("d_id"), F.col("m.gap_us").alias("gap_us"))
 
@@ -104,9 +95,9 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
 def as_of_within(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_value: str, to: str = "found") -> DataFrame:
     """As J3, but null where the lag exceeds the mean distance of the right side's times."""
     w = Window.partitionBy(*by).orderBy(right_time)
-    step = right.withColumn("_d", F.unix_micros(right_time) - F.unix_micros(F.lag(right_time).over(w))).groupBy(*by).agg(F.avg("_d").alias("_mean"))
+    step = right.withColumn("_d", micros(right_time) - micros(F.lag(right_time).over(w))).groupBy(*by).agg(F.avg("_d").alias("_mean"))
     x = as_of(left, right, by, left_time, right_time, right_value, to).join(step, by, "left")
-    near = F.unix_micros(left_time) - F.unix_micros(f"{to}_time") <= F.col("_mean")
+    near = micros(left_time) - micros(f"{to}_time") <= F.col("_mean")
     return x.withColumns({to: F.when(near, F.col(to)), f"{to}_time": F.when(near, F.col(f"{to}_time"))}).drop("_mean")
 
 
@@ -120,7 +111,7 @@ def spill(events: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
 
 def first_within(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, tol_us: int, order: str) -> DataFrame:
     """Each left row with the first right row of the same key within tol."""
-    met = left.join(right, by).where(F.abs(F.unix_micros(left_time) - F.unix_micros(right_time)) < tol_us)
+    met = left.join(right, by).where(F.abs(micros(left_time) - micros(right_time)) < tol_us)
     return met.withColumn("_n", F.row_number().over(Window.partitionBy(*left.columns).orderBy(order))).where("_n = 1").drop("_n")
 
 

@@ -122,7 +122,7 @@ LOGICS = {
     "inclusive": ("DiscreteCallsPresent", "ChorusPresent", "DiscreteCallsChorusPresent"),
     "discrete_only": ("DiscreteCallsPresent", "DiscreteCallsChorusPresent"),
     "strict_discrete": ("DiscreteCallsPresent",),
-    "chorus_aware": ("DiscreteCallsPresent", "ChorusPresent", "DiscreteCallsChorusPresent"),
+    "chorus_aware": ("DiscreteCallsPresent", "DiscreteCallsChorusPresent"),
 }
 
 
