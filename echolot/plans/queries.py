@@ -503,7 +503,7 @@ def x2_time_from_stamp(spark, sf):
     return e.select("event_id", micros(S.time_from_stamp(F.col("s"))).alias("us"))
 
 
-@query("SELECT event_id, round(epoch_us(ts) / 86400000000.0 + 719529, 7) AS day, hour(ts)::INT AS hour FROM events")
+@query("SELECT event_id, round(epoch_us(ts)::DOUBLE / 86400000000.0::DOUBLE + 719529, 7) AS day, hour(ts)::INT AS hour FROM events")
 def x3_day_number(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(S.day_number(F.col("ts")), 7).alias("day"), S.hour_of_day(S.day_number(F.col("ts"))).alias("hour"))
 
