@@ -18,7 +18,7 @@ def equal_width_bins(df: DataFrame, value: str, n: int, to: str) -> DataFrame:
     tiny = F.col("_hi") - F.col("_lo") < 1e-6
     e = e.select(F.when(tiny, F.col("_lo") - 1).otherwise(F.col("_lo")).alias("_lo"), F.when(tiny, F.col("_hi") + 1).otherwise(F.col("_hi")).alias("_hi"))
     k = F.least(F.greatest(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n) + 1, F.lit(1)), F.lit(n))
-    return df.crossJoin(F.broadcast(e)).withColumn(to, F.coalesce(k, F.lit(n + 1)).cast("int")).drop("_lo", "_hi")  # one row is sent
+    return df.crossJoin(F.broadcast(e)).withColumn(to, F.when(v.isNull(), F.lit(n + 1)).otherwise(k).cast("int")).drop("_lo", "_hi")  # one row is sent
 
 
 def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
