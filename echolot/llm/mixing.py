@@ -58,7 +58,7 @@ def targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: f
     return t.withColumn("target", F.coalesce(F.least("cap", F.col("w") * F.col("level")), F.col("cap"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1, bucket_rows: int = 20_000, carry: list[Column] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1, bucket_rows: int = 2_000, carry: list[Column] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs, and carry as a struct."""
     drawn = F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))), 1, 13), 16, 10).cast("double")
     key = -F.ln((drawn + 1) / float(2**52 + 1)) / quality_weight(F.col("text"))

@@ -40,7 +40,7 @@ class Encoder:
     Words are found by the tokenizer's own normaliser and splitter; only the merges are remembered.
     """
 
-    def __init__(self, name: str, remembered: int = 400_000):
+    def __init__(self, name: str, remembered: int = 800_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
