@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ class Encoder:
     Words are found by the tokenizer's own normaliser and splitter; only the merges are remembered.
     """
 
-    def __init__(self, name: str, remembered: int = 800_000):
+    def __init__(self, name: str, remembered: int = 400_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -58,20 +59,30 @@ class Encoder:
         runs = _ASCII_RUNS.findall(text) if _ODD_SPACE.search(text) else text.split()
         new = [r for r in dict.fromkeys(runs) if r not in known]
         if new:
-            if len(known) + len(new) > self.remembered:
+            if len(known) + 2 * len(new) > self.remembered:
                 known.clear()
                 new = list(dict.fromkeys(runs))
-            starts, at = [], 0
-            for r in new:
-                starts.append(at)
-                at += len(r) + 1
-            e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            first = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), [*starts, at]).tolist()
-            for k, r in enumerate(new):
-                known[r] = ids[first[k] : first[k + 1]].tobytes()
+            # a word before a full stop or comma is a word of the splitter's own
+            ended = [r for r in new if r[-1] in ".," and r[:-1].lower().isalpha() and unicodedata.is_normalized("NFC", r)]
+            self._learn(dict.fromkeys([*set(new).difference(ended), *(r[:-1] for r in ended), ".", ","]))
+            for r in ended:
+                known[r] = known[r[:-1]] + known[r[-1]]
         return b"".join([known[r] for r in runs])
 
+    def _learn(self, words: dict[str, None]) -> None:
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        starts, at = [], 0
+        for w in new:
+            starts.append(at)
+            at += len(w) + 1
+        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        first = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), [*starts, at]).tolist()
+        for k, w in enumerate(new):
+            self.known[w] = ids[first[k] : first[k + 1]].tobytes()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
