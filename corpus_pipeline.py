@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity the smallest doc_id stays."""
-    return ngram_join.one_of_each(docs, width=5, num=80, den=100, slices=2)
+    return ngram_join.one_of_each(docs, width=5, num=80, den=100, slices=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
