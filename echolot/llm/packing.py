@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import hide_null, materialize, ship, show_null
 
 END = 1
+_MARK = "\x01"
 #: White space that str.split takes besides the ASCII kind; texts with it are cut by the pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _END = END.to_bytes(4, "little")
@@ -73,15 +74,21 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         if not new:
             return
-        starts, at = [], 0
-        for w in new:
-            starts.append(at)
-            at += len(w) + 1
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        first = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), [*starts, at]).tolist()
-        for k, w in enumerate(new):
-            self.known[w] = ids[first[k] : first[k + 1]].tobytes()
+        # words stand between marks; where a text holds marks of its own, offsets tell the words apart
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        mark = self.plain(_MARK)
+        ends = np.flatnonzero(ids == mark[0])
+        if len(mark) == 1 and len(ends) == len(new) - 1:
+            first, last = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
+        else:
+            starts = np.cumsum([0, *(len(w) + 1 for w in new)])
+            e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            first = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts).tolist()
+            last = first[1:]
+        data = ids.tobytes()
+        for w, a, b in zip(new, first, last, strict=False):
+            self.known[w] = data[4 * a : 4 * b]
 
 
 _ENCODERS: dict[str, Encoder] = {}
