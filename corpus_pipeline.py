@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from echolot.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier
-from echolot.llm.common import materialize
+from echolot.llm.common import drop_paths, materialize, root_paths
+
+#: Written parts that earlier stages' results read.
+_LEFT: list[str] = []
+
+
+def _free(spark: SparkSession, docs: DataFrame) -> None:
+    """A stage begins when its predecessor has been written and read again; what that was made from goes, unless docs reads it."""
+    used = "\n".join(root_paths(docs))
+    gone = [x for x in _LEFT if x.rpartition("/")[2] not in used]
+    _LEFT[:] = [x for x in _LEFT if x not in gone]
+    drop_paths(spark, gone)
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,22 +30,26 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    return exact_dedup.drop_copies(docs)
+    _free(spark, docs)
+    return exact_dedup.drop_copies(docs, _LEFT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity the smallest doc_id stays."""
-    return ngram_join.one_of_each(docs, width=5, num=80, den=100, slices=4)
+    _free(spark, docs)
+    return ngram_join.one_of_each(docs, width=5, num=80, den=100, slices=4, left=_LEFT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.repeat_mixed(docs)
+    _free(spark, docs)
+    return mixing.repeat_mixed(docs, left=_LEFT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences of at most 4096 tokens."""
-    return packing.best_fit(docs)
+    _free(spark, docs)
+    return packing.best_fit(docs, left=_LEFT)
 
 
 STAGES = [
@@ -50,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        written: list[str] = []
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", written)
+        drop_paths(spark, read)
+        read = written
     return docs

@@ -72,6 +72,13 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def root_paths(df: DataFrame) -> list[str]:
+    """The folders and files that df reads, as named to the reader."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    relations = [x.relation() for x in map(leaves.apply, range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation"]
+    return [x for r in relations if r.getClass().getSimpleName() == "HadoopFsRelation" for x in r.location().rootPaths().mkString("\n").split("\n")]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -25,15 +25,16 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WS_RUN, " ")
 
 
-def exact_dedup(docs: DataFrame, carry: list[str] | None = None, made: list[Column] | None = None, first_width: int = 64, widen: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, carry: list[str] | None = None, made: list[Column] | None = None, first_width: int = 64, widen: int = 4, id_col: str = "doc_id", text_col: str = "text", left: list[str] | None = None) -> DataFrame:
     """A row for each input row: uid, doc_id, keep_id, group_size, kept, carry (a struct of columns of docs) and made.
 
     made: columns over _text, the text as given, and carry; they are computed before rows meet their verdicts.
+    left: gets the paths of the written stages that the result reads.
     """
     spark = docs.sparkSession
     rows = materialize(docs.select(
         F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry or []]).alias("carry"),
-    ).withColumn("_uid", F.monotonically_increasing_id()), "radix-rows")
+    ).withColumn("_uid", F.monotonically_increasing_id()), "radix-rows", left)
     state = rows.select("_uid", "_id", F.lit(0).cast("long").alias("gid"), normalized(F.col("_text")).cast("binary").alias("rest"))
     done, spent, width = [], [], first_width
     while True:
@@ -47,7 +48,7 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, made: list[Colu
         if state.isEmpty():
             break
         width *= widen
-    members = materialize(reduce(DataFrame.union, done), "radix-members")
+    members = materialize(reduce(DataFrame.union, done), "radix-members", left)
     drop_paths(spark, spent)
     made = made or []
     out = rows.select("_uid", "_id", "carry", *made).join(members, "_uid", "left")
@@ -62,8 +63,8 @@ def exact_dedup_digests(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies; original texts and columns stay."""
+def drop_copies(docs: DataFrame, left: list[str] | None = None) -> DataFrame:
+    """docs without the copies; original texts and columns stay. left: as for exact_dedup."""
     names = docs.columns
-    kept = exact_dedup(docs, carry=[c for c in names if c != "text"], made=[F.col("_text")]).where("kept")
+    kept = exact_dedup(docs, carry=[c for c in names if c != "text"], made=[F.col("_text")], left=left).where("kept")
     return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"carry.`{c}`").alias(c) for c in names])

@@ -58,18 +58,21 @@ def targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: f
     return t.withColumn("target", F.coalesce(F.least("cap", F.col("w") * F.col("level")), F.col("cap"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1, bucket_rows: int = 2_000, carry: list[Column] | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs, and carry as a struct."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1, bucket_rows: int = 2_000, carry: list[Column] | None = None, left: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for each row of docs, and carry as a struct.
+
+    left: gets the paths of the written stages that the result reads.
+    """
     drawn = F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))), 1, 13), 16, 10).cast("double")
     key = -F.ln((drawn + 1) / float(2**52 + 1)) / quality_weight(F.col("text"))
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key.alias("key"),
         F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carry"))
-    rows = materialize(d.withColumn("uid", F.monotonically_increasing_id()), "mix")
+    rows = materialize(d.withColumn("uid", F.monotonically_increasing_id()), "mix", left)
     d = rows.drop("carry")  # slim rows are sorted and summed; what they carry meets them at the end
     totals = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = materialize(targets(totals.select("source", "source_size"), weights, share, most).join(
-        totals.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-plan")
+        totals.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-plan", left)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
     d = d.join(plan.withColumnRenamed("source", "s2").drop("n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")

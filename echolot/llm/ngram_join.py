@@ -336,10 +336,11 @@ def leaf_tasks(members: DataFrame, num: int, den: int, spent: list[str]) -> Data
     return small.union(big.select(*key, "uid").join(ends, key).select("root", "task", "side", "uid"))
 
 
-def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slices: int = 1) -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slices: int = 1, left: list[str] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; sets link when den * intersection >= num * union.
 
     slices: the tiles' keys are dealt out in so many turns, to hold fewer of them on disk at a time.
+    left: gets the path of the written result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -359,8 +360,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     prof = materialize(docs.mapInPandas(profile, "doc_id long, n long, sha binary, keys array<long>, vec binary, fine binary"), "profiles", full)
     low = F.min(F.when(F.col("doc_id") != NONE, F.col("doc_id"))).alias("low")
     reps = materialize(prof.where("n > 0").groupBy("sha").agg(low, F.max("doc_id").alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("keys", "vec", "fine")]).withColumn(
-        "uid", F.monotonically_increasing_id()), "sets")
-    prof = materialize(prof.select("doc_id", "n", "sha"), "ids")
+        "uid", F.monotonically_increasing_id()), "sets", spent)
+    prof = materialize(prof.select("doc_id", "n", "sha"), "ids", spent)
     drop_paths(spark, full)
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffle
 
@@ -407,14 +408,14 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     out = named.join(names, "root").select("sha", "component")
     result = prof.select("doc_id", "n", "sha").join(out, "sha", "left").select(
         show_null("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, show_null("doc_id")).otherwise(F.col("component")).alias("component_id"))
-    result = materialize(result, "components")
+    result = materialize(result, "components", left)
     drop_paths(spark, spent)
     return result
 
 
-def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slices: int = 1) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id, of repeated rows one."""
-    c = ngram_components(docs, width, num, den, slices)
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slices: int = 1, left: list[str] | None = None) -> DataFrame:
+    """docs with one document of each component: that with the smallest doc_id, of repeated rows one. left: as for ngram_components."""
+    c = ngram_components(docs, width, num, den, slices, left)
     gone = c.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti")
     return stay

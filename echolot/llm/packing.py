@@ -194,9 +194,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, bucket_rows: int = 100_000) ->
         *pieces.columns, F.col("_s.sequence_id").alias("sequence_id"), F.col("_s.offset").alias("offset"))
 
 
-def best_fit(docs: DataFrame, capacity: int = 4096) -> DataFrame:
-    """The places of all pieces of docs."""
-    return pack(materialize(pieces_of(docs, capacity), "pieces"), capacity)
+def best_fit(docs: DataFrame, capacity: int = 4096, left: list[str] | None = None) -> DataFrame:
+    """The places of all pieces of docs. left: gets the path of the pieces, which the result reads."""
+    return pack(materialize(pieces_of(docs, capacity), "pieces", left), capacity)
 
 
 def sequences(docs: DataFrame, capacity: int = 4096) -> DataFrame:
