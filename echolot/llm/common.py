@@ -147,15 +147,32 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": ids[far], "b": ids[roots[far]]})
 
 
-def components(edges: DataFrame, paths: list[str] | None = None, most_rounds: int = 40) -> DataFrame:
+def contracted(make, rows: int = 10_000):
+    """make, a function from batches to frames of edges, with its edges contracted by about so many rows in the same worker."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in make(batches):
+            held.append(pdf)
+            n += len(pdf)
+            if n >= rows:
+                yield from _contract(iter([pd.concat(held)]))
+                held, n = [], 0
+        if n:
+            yield from _contract(iter([pd.concat(held)]))
+    return run
+
+
+def components(edges: DataFrame, paths: list[str] | None = None, most_rounds: int = 40, contract: bool = True) -> DataFrame:
     """Connected components of edges (a, b: long): a row (id, root) for each id of an edge, root the smallest id.
 
     Alternating large and small stars over distributed tables; every round is written to the shared folder.
-    Batches are contracted locally first, so that repeated edges and chains leave early. Empty in, empty out.
+    Batches are contracted locally first, so that repeated edges and chains leave early; contract is False where the
+    edges were made so, which saves each task a second Python worker. Empty in, empty out.
     """
     spark = edges.sparkSession
     mine: list[str] = []
-    now = materialize(edges.select("a", "b").where("a <> b").mapInPandas(_contract, "a long, b long").distinct(), "cc", mine)
+    edges = edges.select("a", "b").where("a <> b")
+    now = materialize((edges.mapInPandas(_contract, "a long, b long") if contract else edges).distinct(), "cc", mine)
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

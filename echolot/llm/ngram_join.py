@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, NONE, Forest, components, drop_paths, hide_null, materialize, mix64, ship, show_null
+from .common import ASCII_LOWER, NONE, Forest, components, contracted, drop_paths, hide_null, materialize, mix64, ship, show_null
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 DIMS = 64
@@ -374,9 +374,9 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         found = met if found is None else found.union(met)
     tiles = found.where("not chained").select(F.col("a").alias("task"), F.col("b").alias("uid")).distinct()
     tiles = tiles.join(reps.select("uid", "n", "fine"), "uid").select(F.lit(0).cast("long").alias("root"), "task", F.lit(0).alias("side"), "uid", "n", "fine")
-    edges = tiles.repartition("root", "task").sortWithinPartitions("root", "task").mapInPandas(_in_leaves(num, den, False), "a long, b long")
-    edges = edges.union(found.where("chained").select("a", "b"))
-    members = components(edges, spent).select(F.col("id").alias("uid"), "root").join(reps.select("uid", "n", "vec"), "uid")
+    edges = tiles.repartition("root", "task").sortWithinPartitions("root", "task").mapInPandas(contracted(_in_leaves(num, den, False)), "a long, b long")
+    edges = edges.union(found.where("chained").select("a", "b").mapInPandas(contracted(lambda batches: batches), "a long, b long"))
+    members = components(edges, spent, contract=False).select(F.col("id").alias("uid"), "root").join(reps.select("uid", "n", "vec"), "uid")
     members = materialize(members.select("root", "uid", "n", "vec"), "families", spent)
 
     def tasks_with(members: DataFrame, what: DataFrame) -> DataFrame:
@@ -386,8 +386,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     large = members.groupBy("root").count().where(F.col("count") > LEAF).select("root")
     if not large.isEmpty():
         big = members.join(large, "root", "left_semi")
-        bound = tasks_with(big, reps.select("uid", "n", "fine")).mapInPandas(_in_leaves(num, den, False), "a long, b long")
-        parts = components(bound, spent).select(F.col("id").alias("uid"), "root").join(reps.select("uid", "n", "vec"), "uid")
+        bound = tasks_with(big, reps.select("uid", "n", "fine")).mapInPandas(contracted(_in_leaves(num, den, False)), "a long, b long")
+        parts = components(bound, spent, contract=False).select(F.col("id").alias("uid"), "root").join(reps.select("uid", "n", "vec"), "uid")
         members = materialize(members.join(large, "root", "left_anti").union(parts.select("root", "uid", "n", "vec")), "families", spent)
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -401,8 +401,8 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
     wanted = members.join(members.groupBy("root").count().where("count > 1"), "root", "left_semi").select("uid").join(reps.select("uid", F.col("at").alias("doc_id"), "sha"), "uid")
     sets = docs.join(wanted, "doc_id").select("uid", "sha", "text").mapInPandas(sets_of, "uid long, n long, fine binary, set binary").dropDuplicates(["uid"])
-    links = tasks_with(members, sets).mapInPandas(_in_leaves(num, den, True), "a long, b long")
-    linked = components(links, spent).select(F.col("id").alias("uid"), "root")
+    links = tasks_with(members, sets).mapInPandas(contracted(_in_leaves(num, den, True)), "a long, b long")
+    linked = components(links, spent, contract=False).select(F.col("id").alias("uid"), "root")
     named = reps.select("uid", "sha", "low").join(linked, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     names = named.groupBy("root").agg(F.min("low").alias("component"))
     out = named.join(names, "root").select("sha", "component")
