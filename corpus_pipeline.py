@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from echolot.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier
 from echolot.llm.common import drop_paths, materialize, root_paths
 
-#: Written parts that earlier stages' results read.
-_LEFT: list[str] = []
+#: Written parts that the results of a stage read, by stage.
+_LEFT: dict[str, list[str]] = {"exact_dedup": [], "ngram_jaccard_join": [], "source_mixing": [], "best_fit_packing": []}
 
 
-def _free(spark: SparkSession, docs: DataFrame) -> None:
+def _free(spark: SparkSession, docs: DataFrame, before: str) -> None:
     """A stage begins when its predecessor has been written and read again; what that was made from goes, unless docs reads it."""
     used = "\n".join(root_paths(docs))
-    gone = [x for x in _LEFT if x.rpartition("/")[2] not in used]
-    _LEFT[:] = [x for x in _LEFT if x not in gone]
+    gone = [x for x in _LEFT[before] if x.rpartition("/")[2] not in used]
+    _LEFT[before][:] = [x for x in _LEFT[before] if x not in gone]
     drop_paths(spark, gone)
 
 
@@ -30,26 +30,25 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    _free(spark, docs)
-    return exact_dedup.drop_copies(docs, _LEFT)
+    return exact_dedup.drop_copies(docs, _LEFT["exact_dedup"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity the smallest doc_id stays."""
-    _free(spark, docs)
-    return ngram_join.one_of_each(docs, width=5, num=80, den=100, slices=4, left=_LEFT)
+    _free(spark, docs, "exact_dedup")
+    return ngram_join.one_of_each(docs, width=5, num=80, den=100, slices=4, left=_LEFT["ngram_jaccard_join"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    _free(spark, docs)
-    return mixing.repeat_mixed(docs, left=_LEFT)
+    _free(spark, docs, "ngram_jaccard_join")
+    return mixing.repeat_mixed(docs, left=_LEFT["source_mixing"])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences of at most 4096 tokens."""
-    _free(spark, docs)
-    return packing.best_fit(docs, left=_LEFT)
+    _free(spark, docs, "source_mixing")
+    return packing.best_fit(docs, left=_LEFT["best_fit_packing"])
 
 
 STAGES = [
