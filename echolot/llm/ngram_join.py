@@ -327,7 +327,7 @@ def leaf_tasks(members: DataFrame, num: int, den: int, spent: list[str]) -> Data
     near = boxes.join(other, "root").where("cls2 = cls + 1 or (cls2 = cls and leaf2 > leaf)")
     # summed minima of the largest coordinates bound every overlap; a capped coordinate bounds nothing
     bound = F.aggregate(F.zip_with("box", "box2", lambda x, y: F.when((x >= 255) | (y >= 255), F.lit(2**24)).otherwise(F.least(x, y))), F.lit(0), lambda s, x: F.least(s + x, F.lit(2**25)))
-    near = near.where(bound * (num + den) >= num * (F.col("least") + F.col("least2"))).select("root", "cls", "leaf", "cls2", "leaf2")
+    near = near.where(bound.cast("long") * (num + den) >= num * (F.col("least") + F.col("least2"))).select("root", "cls", "leaf", "cls2", "leaf2")
     task = lambda *c: F.xxhash64(*c)
     key = ["root", "cls", "leaf"]
     pairs = near.withColumn("task", task("cls", "leaf", "cls2", "leaf2"))

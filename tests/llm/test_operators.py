@@ -199,6 +199,20 @@ def test_ngram_join_with_small_leaves(spark, monkeypatch):
         assert rows(ngram_join.ngram_components(df, width, num, 100), "doc_id", "n_shingles", "component_id") == links(given, width, num, 100)
 
 
+def test_ngram_join_with_small_leaves_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    long = [f"t{i}" for i in range(21_000)]
+    given = []
+    for k in range(12):
+        w = list(long)
+        w[:50] = [f"u{k}x{i}" for i in range(50)]
+        given.append((k, " ".join(w)))
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    for num in (90, 80):
+        got = rows(ngram_join.ngram_components(df, 1, num, 100), "doc_id", "n_shingles", "component_id")
+        assert got == sorted([(k, 21_000, 0) for k in range(12)], key=repr)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1080)] + [(2000, k) for k in range(2001, 2100)]
