@@ -39,7 +39,8 @@ class Encoder:
     """Ids of a tokenizer file, piecewise: the tokenizer runs once for each distinct word of its own splitter.
 
     The splitter's words are encoded independently of each other, so ids of a text are those of its words in order.
-    Words are found by the tokenizer's own normaliser and splitter; only the merges are remembered.
+    Words are found by the tokenizer's own normaliser and splitter; only the merges are remembered. Added tokens in a
+    text, such as <|endoftext|>, become their ids, as in the tokenizer by itself; they hold no white space.
     """
 
     def __init__(self, name: str, remembered: int = 400_000):
@@ -47,7 +48,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
 

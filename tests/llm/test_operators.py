@@ -144,6 +144,22 @@ def test_packing(docs, odd, clash):
     assert sum(len(r["ids"]) for r in whole) == sum(w[3] for w in want)
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "end", "of.", "É", "e\u0301", " ", "\n", "\u00a0", "\x01", ",", "'s", "12"]
+    rng = np.random.default_rng(4)
+    given = [(0, "end <|endoftext|> of"), *((k, "".join(parts[i] for i in rng.integers(0, len(parts), 12))) for k in range(1, 400))]
+    want = []
+    for i, t in given:
+        x = np.array([*fresh.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, len(x), zlib.crc32(x.tobytes())))
+    assert fresh.encode(given[0][1], add_special_tokens=False).ids == [806, 49407, 539]
+    assert rows(packing.best_fit(spark.createDataFrame(given, "doc_id long, text string")), "doc_id", "length", "ids_crc32") == sorted(want, key=repr)
+
+
 def test_ranked_in_small_buckets(spark):
     pieces = spark.range(1000).select((F.col("id") % 7 + 1).alias("length"), F.col("id").alias("doc_id"), F.lit(0).alias("piece"))
     got = packing.ranked(pieces, "length", [F.col("doc_id")], [F.col("doc_id")], 10).collect()
