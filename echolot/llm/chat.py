@@ -95,7 +95,7 @@ def nodes_of(role: str | None, text: str | None, tools: dict) -> list[tuple]:
     return out
 
 
-def format_chat(messages: DataFrame, tools: dict | None = None, most_rounds: int = 100) -> DataFrame:
+def format_chat(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     """conv_id, turn, seq, role, kind, call_id, name, valid, status, peer_turn, at_turn, depth, json."""
     spark = messages.sparkSession
     ship(spark)
@@ -111,11 +111,11 @@ def format_chat(messages: DataFrame, tools: dict | None = None, most_rounds: int
     tool = nodes.where("kind <> 'message'")
     done = nodes.where("kind = 'message'").withColumns({"status": F.lit("message"), "peer_turn": F.lit(None).cast("long"), "at_turn": F.col("turn"), "depth": F.lit(0)})
     if not tool.isEmpty():
-        done = done.unionByName(_linked(tool, most_rounds))
+        done = done.unionByName(_linked(tool))
     return done.select(show_null("conv_id").alias("conv_id"), show_null("turn").alias("turn"), "seq", "role", "kind", "call_id", "name", "valid", "status", show_null("peer_turn").alias("peer_turn"), show_null("at_turn").alias("at_turn"), "depth", "json")
 
 
-def _linked(tool: DataFrame, most_rounds: int) -> DataFrame:
+def _linked(tool: DataFrame) -> DataFrame:
     """status, peer_turn, at_turn and depth for calls and results."""
     spark = tool.sparkSession
     first = F.row_number().over(Window.partitionBy("conv_id", "call_id", "kind").orderBy("turn", "seq", "json", "uid"))
@@ -128,23 +128,32 @@ def _linked(tool: DataFrame, most_rounds: int) -> DataFrame:
         uses.join(results, ["conv_id", "call_id"]).select(F.col("result_uid").alias("before"), "after")).distinct(), "chat-edges")
     peers = links.select(F.col("call_uid").alias("uid"), F.col("result_turn").alias("peer_turn")).union(links.select(F.col("result_uid").alias("uid"), F.col("call_turn").alias("peer_turn")))
     # Kahn's rounds: what waits for nothing is placed, and places what waits for it alone
+    # until none is left: each round places a node or is the last, and what it was made from is deleted
     base = tool.select("uid", "turn")
-    waiting, placed, old = edges, base.join(edges.select(F.col("after").alias("uid")), "uid", "left_anti").select("uid", F.col("turn").alias("at_turn"), F.lit(0).alias("depth")), []
-    placed = materialize(placed, "chat-placed", old)
-    ready = placed
-    for _ in range(most_rounds):
+    paths: dict[str, list[str]] = {"waiting": [], "placed": [], "ready": []}
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        before, paths[what] = paths[what], []
+        df = materialize(df, f"chat-{what}", paths[what])
+        stale.extend(before)
+        return df
+
+    stale: list[str] = []
+    placed = kept(base.join(edges.select(F.col("after").alias("uid")), "uid", "left_anti").select("uid", F.col("turn").alias("at_turn"), F.lit(0).alias("depth")), "placed")
+    waiting, ready = edges, placed
+    while not ready.isEmpty():
         open_ids = ready.select(F.col("uid").alias("before"))
-        met = edges.join(open_ids, "before").select("after")
-        waiting = materialize(waiting.join(open_ids, "before", "left_anti"), "chat-wait", old)
-        best = edges.join(placed.withColumnRenamed("uid", "before"), "before").groupBy("after").agg(F.max(F.struct("at_turn", "depth")).alias("p"))
-        new = best.join(met.distinct(), "after").join(waiting.select("after").distinct(), "after", "left_anti").withColumnRenamed("after", "uid").join(base, "uid").select(
+        met = edges.join(open_ids, "before").select("after").distinct()
+        waiting = kept(waiting.join(open_ids, "before", "left_anti"), "waiting")
+        free = met.join(waiting.select("after").distinct(), "after", "left_anti")
+        best = edges.join(free, "after").join(placed.withColumnRenamed("uid", "before"), "before").groupBy("after").agg(F.max(F.struct("at_turn", "depth")).alias("p"))
+        new = best.withColumnRenamed("after", "uid").join(base, "uid").select(
             "uid", F.greatest("turn", "p.at_turn").alias("at_turn"), F.when(F.col("p.at_turn") >= F.col("turn"), F.col("p.depth") + 1).otherwise(0).alias("depth"))
-        ready = materialize(new, "chat-ready", old)
-        if ready.isEmpty():
-            break
-        placed = materialize(placed.union(ready), "chat-placed", old)
+        ready = kept(new, "ready")
+        placed = kept(placed.union(ready), "placed")
+        drop_paths(spark, stale)
     out = tool.join(peers, "uid", "left").join(placed, "uid", "left").withColumn(
         "status", F.when(F.col("again"), "repeated").when(F.col("at_turn").isNull(), "cycle").when(F.col("peer_turn").isNotNull(), "linked").otherwise(F.concat(F.lit("no_"), F.when(F.col("kind") == "call", "result").otherwise("call"))))
     out = materialize(out.withColumns({"at_turn": F.coalesce("at_turn", "turn"), "depth": F.coalesce("depth", F.lit(0))}).drop("again"), "chat-linked")
-    drop_paths(spark, old)
+    drop_paths(spark, [x for v in paths.values() for x in v])
     return out

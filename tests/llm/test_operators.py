@@ -387,6 +387,19 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0)).collect() == []
 
 
+def test_chat_orders_long_chains(spark):
+    given, n = [], 54
+    for k in range(n):
+        args = {"expression": {"$result": f"c{k - 1}"}} if k else {"expression": "1"}
+        given.append((1, n - k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "calculate", "arguments": args}]})))
+        given.append((1, n, "tool", json.dumps({"tool_call_id": f"c{k}", "content": k})))
+    df = spark.createDataFrame(given, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.format_chat(df).collect()
+    assert {r["status"] for r in got} == {"linked"}
+    got.sort(key=lambda r: (r["at_turn"], r["depth"], r["turn"], r["seq"]))
+    assert [(r["kind"], r["call_id"]) for r in got] == [(kind, f"c{k}") for k in range(n) for kind in ("call", "result")]
+
+
 def test_chat_serialises_all_turns(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     got = rows(chat.format_chat(df), "conv_id", "turn", "json")
