@@ -1,6 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text. Tokens are the words of the scan, A-Z lower-cased; templates and blocks are compared
+Blocks are the lines of a text and, for each template, the stretches of consecutive words over line ends in which a
+threshold's share of words can be the template's, so that a notice wrapped over lines is compared whole wherever its
+lines break. Tokens are the words of the scan, A-Z lower-cased; templates and blocks are compared
 as sets. A block meets a template if it holds at least threshold of the template's tokens. Tokens are put in one
 global order, rarest first, by the number of documents that hold them; these counts cover all documents and only the
 templates' tokens need them. Filters, all exact: with c tokens needed of a template of t, one of its first
@@ -56,7 +58,7 @@ def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
             for text in pdf["text"]:
                 if text:
                     n.update(wanted.intersection(tokens(text)))
-        yield pd.DataFrame({"token": list(n), "n": list(n.values())})
+        yield pd.DataFrame({"token": list(n), "n": list(n.values())}).astype({"token": object, "n": "int64"})
 
     got = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return dict.fromkeys(wanted, 0) | {r["token"]: r["n"] for r in got}
@@ -75,6 +77,35 @@ class Templates:
             for p, token in enumerate(order[: len(order) - need + 1]):
                 self.index.setdefault(token, []).append((k, p))
         self.rare = frozenset(self.index)
+        #: the most words of a stretch over line ends
+        self.most = [math.floor(round(len(tokens(text)) / threshold, 9)) for _, text in templates]
+
+    def wrapped(self, lines: list[list[str]]) -> list[tuple[int, str, float]]:
+        """First line, label and containment of the fullest stretch over line ends of every template that one meets."""
+        places, at = [], 0
+        for i, line in enumerate(lines):
+            places += [(at + k, i, x) for k, x in enumerate(line) if x in self.place]
+            at += len(line)
+        here, out = {x for _, _, x in places}, []
+        for (label, items, need), most in zip(self.items, self.most, strict=True):
+            if len(items & here) < need:
+                continue
+            mine = [p for p in places if p[2] in items]
+            n: Counter[str] = Counter()
+            best, first, start = 0, 0, 0
+            for at, i, x in mine:
+                n[x] += 1
+                while at - mine[start][0] >= most:
+                    gone = mine[start][2]
+                    n[gone] -= 1
+                    if not n[gone]:
+                        del n[gone]
+                    start += 1
+                if len(n) > best and mine[start][1] < i:
+                    best, first = len(n), mine[start][1]
+            if best >= need:
+                out.append((first, label, best / len(items)))
+        return out
 
     def meet(self, block: list[str]) -> list[tuple[str, float]]:
         """Label and containment of every template that the block meets."""
@@ -108,21 +139,24 @@ def phrase_places(words: list[str], phrases=PHRASES) -> list[tuple[int, str]]:
 def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks (line, label, containment).
 
-    score is 1 for a base phrase, else the best containment, else 0.
+    score is 1 for a base phrase, else the best containment, else 0. line is the first line of a block, from 0.
     """
     ship(docs.sparkSession)
     t = Templates(token_counts(docs, templates), threshold, templates)
 
-    def one(text: str | None):
-        low = (text or "").translate(ASCII_LOWER)
+    def one(doc: str | None):
+        low = (doc or "").translate(ASCII_LOWER)
         words = WORD.findall(low)
         places = phrase_places(words) if "license" in low else []
         base = {label for _, label in places}
         blocks = []
         if any(x in low for x in t.rare):
-            for i, line in enumerate(low.split("\n")):
-                if any(x in line for x in t.rare):
-                    blocks += [(i, label, c) for label, c in t.meet(WORD.findall(line))]
+            lines = [WORD.findall(line) for line in low.split("\n")]
+            for i, line in enumerate(lines):
+                if not t.rare.isdisjoint(line):
+                    blocks += [(i, label, c) for label, c in t.meet(line)]
+            if len(lines) > 1:
+                blocks += t.wrapped(lines)
         starts = [p for p, _ in places]
         return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {b[1] for b in blocks})),
                 1.0 if base else max((b[2] for b in blocks), default=0.0), [{"line": i, "label": x, "containment": c} for i, x, c in blocks])

@@ -444,6 +444,23 @@ def test_license_scan(odd, clash, docs):
     assert license_scan.scanned(odd.limit(0)).collect() == []
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    import textwrap
+
+    given, want = [], []
+    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+        for shift in (0, 20, 45):
+            lines = textwrap.wrap("w" * shift + " " + text + " and so on", 72)
+            given.append((len(given), "def f(x):\n\n" + "\n".join(f" * {x}" for x in lines) + "\n *\n * other words\n"))
+            want.append((len(want), label))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    for i, label in want:
+        assert label in got[i]["labels"].split(","), given[i]
+        assert any(b["label"] == label and b["containment"] == 1.0 for b in got[i]["blocks"]), given[i]
+    apart = "Redistribution and use in source\n" + "more words " * 8 + "\nand binary forms, with or without\n" + "more words " * 8 + "\nmodification, are permitted"
+    assert license_scan.scan(spark.createDataFrame([(1, apart)], "doc_id long, text string")).first()["labels"] == ""
+
+
 def test_pipeline(spark, labels):
     import corpus_pipeline
 
