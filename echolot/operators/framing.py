@@ -62,11 +62,17 @@ def differences(x: DataFrame, by: str = "file", order: str = "frame", value: str
 
 
 def recursive_mean(values: Column, b: float) -> Column:
-    """m = (1 - b) m + b x along an array, from its first value."""
-    first = F.struct(F.array().cast("array<double>").alias("out"), F.lit(None).cast("double").alias("m"))
-    step = lambda s, x: F.struct(
-        F.concat(s["out"], F.array(F.coalesce((1 - b) * s["m"] + b * x, x.cast("double")))).alias("out"), F.coalesce((1 - b) * s["m"] + b * x, x.cast("double")).alias("m"))
-    return F.aggregate(values, first, step, lambda s: s["out"])
+    """m = (1 - b) m + b x along an array, from its first value and anew behind a null."""
+    @F.udf("array<double>")
+    def run(xs):
+        if xs is None:
+            return None
+        out, m = [], None
+        for x in xs:
+            m = None if x is None else float(x) if m is None else (1 - b) * m + b * x
+            out.append(m)
+        return out
+    return run(values)
 
 
 def pcen(values: Column, b: float, gain: float = 0.8, bias: float = 10.0, root: float = 0.25, eps: float = 1e-6) -> Column:

@@ -188,6 +188,19 @@ def w27_pcen(spark, sf):
     return f.select("file", F.posexplode(v).alias("k", "v")).select("file", (F.col("k") + 1).cast("long").alias("frame"), F.round("v", 7).alias("pcen"))
 
 
+@query()
+def w26_recursive_mean_whole(spark, sf):
+    s = series(spark, sf).select("file", F.posexplode(framing.recursive_mean(F.col("values"), 0.1)).alias("k", "m"))
+    return s.select("file", (F.col("k") + 1).cast("long").alias("frame"), r9("m").alias("m"))
+
+
+@query()
+def w27_pcen_whole(spark, sf):
+    f = frames(spark, sf).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("p"))
+    v = framing.pcen(F.transform("p", lambda x: x["value"]), 0.025)
+    return f.select("file", F.posexplode(v).alias("k", "v")).select("file", (F.col("k") + 1).cast("long").alias("frame"), F.round("v", 7).alias("pcen"))
+
+
 @query(FRAMES + ", n AS (SELECT *, count(*) OVER (PARTITION BY file) AS n, min(ts) OVER (PARTITION BY file) AS t0 FROM frames) SELECT file, frame, epoch_us(t0) + round((frame - 1) * (n / 250.0 / greatest(n - 1, 1)) * 1e6)::BIGINT AS at_us FROM n")
 def w29_timeline(spark, sf):
     w = Window.partitionBy("file")

@@ -127,6 +127,29 @@ def test_auc_equals_pairs(spark):
     assert metrics.best_temperature(df.where("y"), "s", "y") is None
 
 
+def whole_files():
+    con = duckdb.connect()
+    got = {}
+    for file, value in con.sql(f"SELECT user_id, value FROM '{SF}/events.parquet' ORDER BY user_id, ts, event_id").fetchall():
+        got.setdefault(file, []).append(value)
+    assert max(map(len, got.values())) > 50
+    return got
+
+
+def test_recursive_mean_and_pcen_over_whole_files(spark):
+    mean, pcen = {}, {}
+    for file, values in whole_files().items():
+        m = e = None
+        for k, v in enumerate(values, 1):
+            p = v / (v + 50.0)
+            m, e = (p, v) if m is None else (0.9 * m + 0.1 * p, 0.975 * e + 0.025 * v)
+            mean[file, k], pcen[file, k] = m, (v / (1e-6 + e) ** 0.8 + 10) ** 0.25 - 10**0.25
+    got = {(r["file"], r["frame"]): r["m"] for r in plans.QUERIES["w26_recursive_mean_whole"](spark, SF).collect()}
+    assert got.keys() == mean.keys() and all(abs(got[k] - mean[k]) < 2e-9 for k in got)
+    got = {(r["file"], r["frame"]): r["pcen"] for r in plans.QUERIES["w27_pcen_whole"](spark, SF).collect()}
+    assert got.keys() == pcen.keys() and all(abs(got[k] - pcen[k]) < 2e-7 for k in got)
+
+
 def test_names(spark):
     df = spark.createDataFrame([(x,) for x in ("20240115_123456.wav", "H08S1_151231-200000.wav", "2024-01-15_12-34-56.wav", "noise.wav")], "n string")
     got = [r[0] for r in df.select(S.micros(S.time_from_name(S.file_stem(plans.F.col("n"))))).collect()]
