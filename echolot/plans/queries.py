@@ -201,6 +201,20 @@ def w27_pcen_whole(spark, sf):
     return f.select("file", F.posexplode(v).alias("k", "v")).select("file", (F.col("k") + 1).cast("long").alias("frame"), F.round("v", 7).alias("pcen"))
 
 
+@query()
+def w14_flatten_whole(spark, sf):
+    found = intervals.detect(frames(spark, sf).select("file", "frame", "prob"), 0.5, 0.2, 2, 1)
+    ev = found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("events"))
+    x = intervals.flatten_detections(series(spark, sf).withColumnRenamed("values", "probabilities").join(ev, "file"))
+    return x.select("file", "first", "last", r9(F.aggregate("probabilities", F.lit(0.0), lambda s, v: s + v)).alias("total"))
+
+
+@query()
+def w18_stitch_whole(spark, sf):
+    s = series(spark, sf).withColumn("bins", F.size("values").cast("long"))
+    return framing.stitch(framing.framed(s, 10, 5, keep_rest=True).withColumnRenamed("start", "start_bin")).select("file", "bin", r9("value").alias("value"))
+
+
 @query(FRAMES + ", n AS (SELECT *, count(*) OVER (PARTITION BY file) AS n, min(ts) OVER (PARTITION BY file) AS t0 FROM frames) SELECT file, frame, epoch_us(t0) + round((frame - 1) * (n / 250.0 / greatest(n - 1, 1)) * 1e6)::BIGINT AS at_us FROM n")
 def w29_timeline(spark, sf):
     w = Window.partitionBy("file")

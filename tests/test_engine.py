@@ -150,6 +150,31 @@ def test_recursive_mean_and_pcen_over_whole_files(spark):
     assert got.keys() == pcen.keys() and all(abs(got[k] - pcen[k]) < 2e-7 for k in got)
 
 
+def test_stitch_covers_whole_files(spark):
+    want = {(file, k): v / (v + 50.0) for file, values in whole_files().items() for k, v in enumerate(values, 1)}
+    got = {(r["file"], r["bin"]): r["value"] for r in plans.QUERIES["w18_stitch_whole"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in got)
+
+
+def test_flatten_takes_all_detections(spark):
+    want = {}
+    for file, values in whole_files().items():
+        p = [v / (v + 50.0) for v in values]
+        on, active = False, []
+        for x in p:
+            on = x >= 0.5 or (on and x >= 0.2)
+            active.append(on)
+        regions = []
+        for k, x in enumerate(active, 1):
+            if x and regions and k - regions[-1][1] <= 2:
+                regions[-1][1] = k
+            elif x:
+                regions.append([k, k])
+        want |= {(file, a, b): sum(p[a - 1 : b]) for a, b in regions if b > a}
+    got = {(r["file"], r["first"], r["last"]): r["total"] for r in plans.QUERIES["w14_flatten_whole"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in got)
+
+
 def test_names(spark):
     df = spark.createDataFrame([(x,) for x in ("20240115_123456.wav", "H08S1_151231-200000.wav", "2024-01-15_12-34-56.wav", "noise.wav")], "n string")
     got = [r[0] for r in df.select(S.micros(S.time_from_name(S.file_stem(plans.F.col("n"))))).collect()]
