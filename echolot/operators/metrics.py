@@ -169,8 +169,16 @@ def convergence(log: DataFrame, value: str, order: str, by: list[str], width: in
     return x.groupBy(*by).agg(F.min(F.when(F.col("_r") < flat, F.col("_k"))).alias("plateau"))
 
 
-def extreme_score(stats: DataFrame) -> DataFrame:
-    """A score from weighted, capped terms of crest, kurtosis, skew and tails; extreme at 0.75."""
-    cap = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    score = 0.3 * cap((F.col("most") - F.col("mean")) / F.greatest(6 * F.col("std"), F.lit(1e-12))) + 0.3 * cap((F.col("kurt") - 3) / 10) + 0.2 * cap(F.abs(F.col("skew")) / 3) + 0.2 * cap(F.col("variation") / 2)
-    return stats.withColumn("score", score).withColumn("extreme", F.col("score") >= 0.75)
+def extreme_score(frames: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The weighted sum of seven terms over the envelope in dB; extreme beyond 0.75. Terms of no spread are 0."""
+    x = frames.select(*by, (20 * F.log10(F.col(value) + 2.0**-52)).alias("_db"))
+    p = midpoint_percentiles(x, "_db", [0.1, 25, 75, 99.9], by).groupBy(*by).agg(
+        *[F.max(F.when(F.col("level") == k, F.col("percentile"))).alias(c) for k, c in ((0.1, "_low"), (25.0, "_q1"), (75.0, "_q3"), (99.9, "_high"))])
+    s = x.groupBy(*by).agg(F.coalesce(F.var_samp("_db"), F.lit(0.0)).alias("variance"), (F.max("_db") - F.min("_db")).alias("range"), F.skewness("_db").alias("skew"), (F.kurtosis("_db") + 3).alias("kurt"), F.abs(F.mean("_db") - F.median("_db")).alias("shift"))
+    s = s.join(p, by)
+    inner, outer = F.col("_q3") - F.col("_q1"), F.col("_high") - F.col("_low")
+    spread = F.when(inner > 0, outer / inner).when(outer > 0, F.lit(float("inf"))).otherwise(0.0)
+    above = lambda c, least, unit: F.greatest(F.nanvl(F.coalesce((c - least) / unit, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    score = (0.35 * F.least(F.col("variance") / 15, F.lit(5.0)) + 0.25 * above(F.sqrt("variance"), 3, 2) + 0.15 * above(F.col("range"), 25, 15) + 0.1 * above(F.col("skew"), 1, 3)
+             + 0.1 * above(F.col("kurt"), 4, 5) + 0.03 * above(spread, 4, 3) + 0.02 * F.col("shift") / 2)
+    return s.withColumn("score", score).withColumn("extreme", F.col("score") > 0.75).select(*by, "score", "extreme")

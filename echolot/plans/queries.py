@@ -201,6 +201,11 @@ def w27_pcen_whole(spark, sf):
     return f.select("file", F.posexplode(v).alias("k", "v")).select("file", (F.col("k") + 1).cast("long").alias("frame"), F.round("v", 7).alias("pcen"))
 
 
+@query()
+def a17_extreme_score(spark, sf):
+    return metrics.extreme_score(frames(spark, sf), "value", ["file"]).select("file", r9("score").alias("score"), "extreme")
+
+
 @query()
 def w14_flatten_whole(spark, sf):
     found = intervals.detect(frames(spark, sf).select("file", "frame", "prob"), 0.5, 0.2, 2, 1)

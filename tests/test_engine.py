@@ -175,6 +175,31 @@ def test_flatten_takes_all_detections(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in got)
 
 
+def extreme_by_hand(values):
+    d = 20 * np.log10(np.array(values) + 2.0**-52)
+    c, var = d - d.mean(), d.var(ddof=1) if len(d) > 1 else 0.0
+    low, q1, q3, high = np.percentile(d, [0.1, 25, 75, 99.9], method="hazen")
+    m2 = (c**2).mean()
+    skew, kurt = ((c**3).mean() / m2**1.5, (c**4).mean() / m2**2) if m2 else (0.0, 0.0)
+    spread = (high - low) / (q3 - q1) if q3 > q1 else math.inf if high > low else 0.0
+    return (0.35 * min(var / 15, 5) + 0.25 * max(0, (var**0.5 - 3) / 2) + 0.15 * max(0, (d.max() - d.min() - 25) / 15) + 0.1 * max(0, (skew - 1) / 3)
+            + 0.1 * max(0, (kurt - 4) / 5) + 0.03 * max(0, (spread - 4) / 3) + 0.02 * abs(d.mean() - np.median(d)) / 2)
+
+
+def test_extreme_score(spark):
+    want = {file: extreme_by_hand(v) for file, v in whole_files().items()}
+    got = {r["file"]: r for r in plans.QUERIES["a17_extreme_score"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[f]["score"] - want[f]) < 1e-6 and got[f]["extreme"] == (want[f] > 0.75) for f in want)
+    hand = {"even": [1.0] * 20, "calm": [1.0, 1.1, 1.2, 1.0, 0.9, 1.05], "peak": [1.0] * 19 + [900.0], "one": [3.0]}
+    df = spark.createDataFrame([(f, x) for f, v in hand.items() for x in v], "file string, x double")
+    got = {r["file"]: r for r in metrics.extreme_score(df, "x", ["file"]).collect()}
+    for f, v in hand.items():
+        w = extreme_by_hand(v)
+        assert got[f]["score"] == w or abs(got[f]["score"] - w) < 1e-6, f
+        assert got[f]["extreme"] == (f == "peak")
+
+
 def test_names(spark):
     df = spark.createDataFrame([(x,) for x in ("20240115_123456.wav", "H08S1_151231-200000.wav", "2024-01-15_12-34-56.wav", "noise.wav")], "n string")
     got = [r[0] for r in df.select(S.micros(S.time_from_name(S.file_stem(plans.F.col("n"))))).collect()]
