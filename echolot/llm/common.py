@@ -79,6 +79,13 @@ def root_paths(df: DataFrame) -> list[str]:
     return [x for r in relations if r.getClass().getSimpleName() == "HadoopFsRelation" for x in r.location().rootPaths().mkString("\n").split("\n")]
 
 
+def with_rows(make):
+    """make, a function from batches to frames, without its frames that hold no rows: Arrow can't type their columns."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (pdf for pdf in make(batches) if len(pdf))
+    return run
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -172,7 +179,7 @@ def components(edges: DataFrame, paths: list[str] | None = None, most_rounds: in
     spark = edges.sparkSession
     mine: list[str] = []
     edges = edges.select("a", "b").where("a <> b")
-    now = materialize((edges.mapInPandas(_contract, "a long, b long") if contract else edges).distinct(), "cc", mine)
+    now = materialize((edges.mapInPandas(with_rows(_contract), "a long, b long") if contract else edges).distinct(), "cc", mine)
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -25,70 +25,107 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hide_null, materialize, ship, show_null
+from .common import hide_null, materialize, ship, show_null, with_rows
 
 END = 1
-_MARK = "\x01"
-#: White space that str.split takes besides the ASCII kind; texts with it are cut by the pattern.
+#: White space in which the tokenizer's pattern and str.split differ, or might.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A stop or comma that ends a word is a word of the splitter's own.
+_STOP = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n])")
 _END = END.to_bytes(4, "little")
-_ASCII_RUNS = re.compile("[^\x20\x09-\x0d]+")
+
+
+def byte_marks() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of a tokenizer file, piecewise: the tokenizer runs once for each distinct word of its own splitter.
+    """Ids of a tokenizer file that normalises to lower-case NFC and splits by a pattern: merges run once for each word.
 
-    The splitter's words are encoded independently of each other, so ids of a text are those of its words in order.
-    Words are found by the tokenizer's own normaliser and splitter; only the merges are remembered. Added tokens in a
-    text, such as <|endoftext|>, become their ids, as in the tokenizer by itself; they hold no white space.
+    The splitter's words are encoded independently of each other, so ids of a text are those of its words in order. A
+    text that lower-casing leaves in NFC is cut at white space here, then by the tokenizer's own pattern, and only the
+    merges are asked for; their results are remembered, in two generations of so many words: when the younger is full
+    it becomes the older, and words still in use are taken over. Any other text (added tokens, letters that compose
+    anew, a capital sigma, unusual white space) goes through the tokenizer whole.
     """
 
-    def __init__(self, name: str, remembered: int = 400_000):
-        import public_tokenizers
-        from tokenizers import Tokenizer
+    def __init__(self, name: str, remembered: int = 150_000):
+        import json
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.known: dict[str, bytes] = {}
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        path = public_tokenizers.path(name)
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [x["type"] for x in made["normalizer"]["normalizers"]]
+        cut, marks = made["pre_tokenizer"]["pretokenizers"]
+        if steps != ["NFC", "Replace", "Lowercase"] or cut["type"] != "Split" or not cut["invert"] or marks["type"] != "ByteLevel" or marks["add_prefix_space"] or marks["use_regex"]:
+            raise ValueError(f"{name} is not a tokenizer of the kind that this encoder reads")
+        self.pattern, self.marks = regex.compile(cut["pattern"]["Regex"]), byte_marks()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, end = self.tokenizer.get_vocab(with_added_tokens=False), made["model"]["end_of_word_suffix"]
+        if any(x not in vocabulary for c in self.marks.values() for x in (c, c + end)):
+            raise ValueError(f"{name} does not know all bytes")
+        #: whether an id ends a word
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if x.endswith(end)]] = True
+        self.added = tuple(x["content"] for x in made["added_tokens"])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.remembered = remembered
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit words. Cuts at ASCII white space, where the splitter always ends a word."""
-        known = self.known
-        runs = _ASCII_RUNS.findall(text) if _ODD_SPACE.search(text) else text.split()
-        new = [r for r in dict.fromkeys(runs) if r not in known]
+        """The ids as little-endian unsigned 32-bit words."""
+        low = text.lower()
+        odd = _ODD_SPACE.search(text) or any(x in text or x in low for x in self.added)
+        if odd or not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", low)):
+            return np.array(self.plain(text), "<u4").tobytes()
+        runs, young = _STOP.sub(r" \1", low).split(), self.young
+        ids = list(map(young.get, runs))
+        if None in ids:
+            self._learn({r for r, x in zip(runs, ids, strict=True) if x is None})
+            ids = map(young.__getitem__, runs)
+            if len(young) > self.remembered:
+                self.old, self.young = young, {}
+        return b"".join(ids)
+
+    def _learn(self, runs: set[str]) -> None:
+        young, old = self.young, self.old
+        cut, words = {}, set()
+        for r in runs:
+            if r in old:
+                young[r] = old[r]
+            elif r.isalpha():
+                words.add(r)
+            else:
+                cut[r] = self.pattern.findall(r)
+                words.update(x for x in cut[r] if x not in young)
+        new = []
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+            elif w not in young:
+                new.append(w)
         if new:
-            if len(known) + 2 * len(new) > self.remembered:
-                known.clear()
-                new = list(dict.fromkeys(runs))
-            # a word before a full stop or comma is a word of the splitter's own
-            ended = [r for r in new if r[-1] in ".," and r[:-1].lower().isalpha() and unicodedata.is_normalized("NFC", r)]
-            self._learn(dict.fromkeys([*set(new).difference(ended), *(r[:-1] for r in ended), ".", ","]))
-            for r in ended:
-                known[r] = known[r[:-1]] + known[r[-1]]
-        return b"".join([known[r] for r in runs])
-
-    def _learn(self, words: dict[str, None]) -> None:
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        # words stand between marks; where a text holds marks of its own, offsets tell the words apart
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        mark = self.plain(_MARK)
-        ends = np.flatnonzero(ids == mark[0])
-        if len(mark) == 1 and len(ends) == len(new) - 1:
-            first, last = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
-        else:
-            starts = np.cumsum([0, *(len(w) + 1 for w in new)])
-            e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            first = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts).tolist()
-            last = first[1:]
-        data = ids.tobytes()
-        for w, a, b in zip(new, first, last, strict=False):
-            self.known[w] = data[4 * a : 4 * b]
+            shown = [w if w.isascii() and w.isprintable() else "".join(map(self.marks.__getitem__, w.encode("utf-8"))) for w in new]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            data, at = ids.tobytes(), 0
+            for w, end in zip(new, ends, strict=True):
+                young[w] = data[4 * at : 4 * end]
+                at = end
+        for r, parts in cut.items():
+            young[r] = b"".join([young[x] for x in parts])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -113,11 +150,10 @@ def pieces_of(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     data = ids[4 * at : 4 * (at + capacity)]
                     rows.append((i, k, at, len(data) // 4, zlib.crc32(data)) + ((data,) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return docs.select(hide_null("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids).withColumn("doc_id", show_null("doc_id"))
+        with_rows(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids).withColumn("doc_id", show_null("doc_id"))
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
