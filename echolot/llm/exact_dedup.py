@@ -3,12 +3,14 @@
 Rows start in one group. Each round splits every group by the next digit, a run of bytes of the normalised text;
 a group of one row is unique and leaves, rows that end together in a group are copies and leave as a class, and the
 rest goes on with what follows the digit. Digits widen from round to round, so a text of L bytes takes O(log L)
-rounds. Texts are compared byte by byte: no digest decides equality. Digits are counted with map-side partial
-aggregation, so a group with a third of all rows sends one row for each map task, and its rows find their group by
-a join that adaptive execution can split. Every round is written to the shared folder.
+rounds, very long texts too. Texts are compared byte by byte: no digest decides equality. Digits are counted with
+map-side partial aggregation, so a group with a third of all rows sends one row for each map task. The groups are
+written before rows meet them: where they are few they are sent along, elsewhere adaptive execution splits the join's
+hot groups, which it can't where rows and counts come from one exchange. Every round is written to the shared folder.
 
 Null text counts as empty. Empty texts are copies of each other. A null doc_id sorts after all others and stays only
-in a group of nulls. Of rows that repeat doc_id and text, one stays. Other columns are ignored.
+in a group of nulls. Of rows that repeat doc_id and text, one stays. Empty tables give no rows. Other columns are
+ignored by exact_dedup and kept by drop_copies.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, made: list[Colu
         keyed = state.select("_uid", "_id", "gid", F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended"), F.substring("rest", width + 1, 2**31 - 1).alias("rest"))
         groups = keyed.groupBy("gid", "digit", "ended").agg(
             F.min("_uid").alias("next"), F.count("*").alias("group_size"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_uid")).alias("first")).where("group_size > 1")
+        groups = materialize(groups, "radix-groups", spent)
         met = materialize(keyed.join(groups, ["gid", "digit", "ended"]).select(
             "_uid", "_id", F.col("next").alias("gid"), "rest", "ended", "group_size", F.col("first._id").alias("keep_id"), F.col("first._uid").alias("keep_uid")), "radix", spent)
         done.append(met.where("ended").select("_uid", "group_size", "keep_id", "keep_uid"))
