@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, hide_null, ship, show_null
+from .common import ASCII_LOWER, hide_null, ship, show_null, with_rows
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Words and the label of each base phrase; fixed values.
@@ -60,7 +60,7 @@ def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
                     n.update(wanted.intersection(tokens(text)))
         yield pd.DataFrame({"token": list(n), "n": list(n.values())}).astype({"token": object, "n": "int64"})
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(with_rows(count), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return dict.fromkeys(wanted, 0) | {r["token"]: r["n"] for r in got}
 
 
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
             yield out
 
     return docs.select(hide_null("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line: long, label: string, containment: double>>").withColumn("doc_id", show_null("doc_id"))
+        with_rows(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line: long, label: string, containment: double>>").withColumn("doc_id", show_null("doc_id"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
