@@ -12,20 +12,23 @@ Each output row is one message, call or result with its JSON: sorted keys, no sp
 message, linked, no_result (a call without), no_call (a result without), repeated (an identifier used again by a later
 call or result; it is kept and not linked) or cycle (calls that wait for each other, or for what never ends). valid
 is null but for calls: whether name is known and the arguments meet its schema. Null texts are plain messages with
-null content, null conversations are one conversation; broken JSON is a plain message. Repeated rows stay, their
-calls count as repeated. Other columns are ignored.
+null content, null conversations are one conversation; broken JSON is a plain message, and so is JSON with NaN, with
+numbers beyond a double's or of over 200 levels (arguments given as such a text stay a text). Lone surrogates are
+written as \\udXXX, in identifiers too. Repeated rows stay, their calls count as repeated. Very long texts are handled
+whole. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_paths, hide_null, materialize, ship, show_null
+from .common import drop_paths, hide_null, materialize, ship, show_null, with_rows
 
 #: Schemas of the tools in production: JSON Schema's type, properties, required, additionalProperties, enum, items.
 TOOLS = {
@@ -33,22 +36,56 @@ TOOLS = {
     "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
     "fetch": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"], "additionalProperties": False},
 }
+#: Deeper texts and arguments are not taken apart.
+MOST_LEVELS = 200
+_LONE = re.compile("[\ud800-\udfff]")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
 NODE = "conv_id long, turn long, role string, seq int, kind string, call_id string, name string, valid boolean, needs array<string>, json string"
 
 
+def escaped(s: str) -> str:
+    """s with lone surrogates, which UTF-8 can't hold, as \\udXXX."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", s)
+
+
 def canonical(x) -> str:
-    return json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return escaped(json.dumps(x, sort_keys=True, ensure_ascii=False, allow_nan=False, separators=(",", ":")))
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def read_json(text: str):
+    """The value of a JSON text of at most MOST_LEVELS levels and finite numbers; else ValueError."""
+    try:
+        x = json.loads(text, parse_constant=_no_number)
+    except RecursionError:
+        raise ValueError("too many levels") from None
+    level = [x]
+    for _ in range(MOST_LEVELS):
+        if not level:
+            return x
+        if any(isinstance(v, float) and v in (float("inf"), -float("inf")) for v in level):
+            raise ValueError("too large a number")
+        level = [w for v in level if isinstance(v, (dict, list)) for w in (v.values() if isinstance(v, dict) else v)]
+    raise ValueError("too many levels")
+
+
+def _same(a, b) -> bool:
+    """JSON's equality: true is not 1."""
+    return canonical(a) == canonical(b)
 
 
 def meets(x, schema: dict) -> bool:
-    """Whether x meets the schema; a reference to a result meets any."""
+    """Whether x meets the schema, whose type may be a list; a reference to a result meets any."""
     if isinstance(x, dict) and set(x) == {"$result"}:
         return True
-    kind = schema.get("type")
-    if kind and (not isinstance(x, _TYPES[kind]) or isinstance(x, bool) and kind in ("number", "integer")):
+    kinds = schema.get("type") or []
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    if kinds and not any(isinstance(x, _TYPES[k]) and not (isinstance(x, bool) and k in ("number", "integer")) for k in kinds):
         return False
-    if "enum" in schema and x not in schema["enum"]:
+    if "enum" in schema and not any(_same(x, v) for v in schema["enum"]):
         return False
     if isinstance(x, dict):
         own = schema.get("properties", {})
@@ -63,7 +100,7 @@ def meets(x, schema: dict) -> bool:
 def references(x) -> list[str]:
     if isinstance(x, dict):
         if set(x) == {"$result"}:
-            return [str(x["$result"])]
+            return [x["$result"] if isinstance(x["$result"], str) else canonical(x["$result"])]
         return [r for v in x.values() for r in references(v)]
     return [r for v in x for r in references(v)] if isinstance(x, list) else []
 
@@ -73,12 +110,12 @@ def nodes_of(role: str | None, text: str | None, tools: dict) -> list[tuple]:
     got = None
     if text and text.lstrip()[:1] == "{":
         try:
-            got = json.loads(text)
-        except (ValueError, RecursionError):
+            got = read_json(text)
+        except ValueError:
             got = None
     plain = [(0, "message", None, None, None, [], canonical({"content": text, "role": role}))]
     if isinstance(got, dict) and isinstance(got.get("tool_call_id"), str):
-        return [(0, "result", got["tool_call_id"], None, None, [], canonical({"content": got.get("content"), "role": role, "tool_call_id": got["tool_call_id"]}))]
+        return [(0, "result", escaped(got["tool_call_id"]), None, None, [], canonical({"content": got.get("content"), "role": role, "tool_call_id": got["tool_call_id"]}))]
     calls = got.get("tool_calls") if isinstance(got, dict) else None
     if not isinstance(calls, list) or not calls or not all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
         return plain
@@ -87,11 +124,12 @@ def nodes_of(role: str | None, text: str | None, tools: dict) -> list[tuple]:
         args, name = c.get("arguments"), c.get("name")
         if isinstance(args, str):
             try:
-                args = json.loads(args)
+                args = read_json(args)
             except ValueError:
                 pass
         ok = isinstance(name, str) and name in tools and meets(args, tools[name])
-        out.append((k, "call", c["id"], name if isinstance(name, str) else None, ok, sorted(set(references(args))), canonical({"arguments": args, "id": c["id"], "name": name, "role": role})))
+        needs = sorted({escaped(r) for r in references(args)})
+        out.append((k, "call", escaped(c["id"]), escaped(name) if isinstance(name, str) else None, ok, needs, canonical({"arguments": args, "id": c["id"], "name": name, "role": role})))
     return out
 
 
@@ -107,7 +145,7 @@ def format_chat(messages: DataFrame, tools: dict | None = None) -> DataFrame:
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "seq", "kind", "call_id", "name", "valid", "needs", "json"])
 
     nodes = materialize(messages.select(hide_null("conv_id"), hide_null("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInPandas(
-        parse, NODE).withColumn("uid", F.monotonically_increasing_id()), "chat")
+        with_rows(parse), NODE).withColumn("uid", F.monotonically_increasing_id()), "chat")
     tool = nodes.where("kind <> 'message'")
     done = nodes.where("kind = 'message'").withColumns({"status": F.lit("message"), "peer_turn": F.lit(None).cast("long"), "at_turn": F.col("turn"), "depth": F.lit(0)})
     if not tool.isEmpty():
