@@ -3,14 +3,17 @@
 Each document draws the exponential key -ln(u) / weight, with u from a hash of its id, text and the seed, and weight
 its quality; smaller keys first is weighted sampling without replacement. A source's budget is spent in complete
 epochs first, then on documents in the order of their keys while their prefix sum fits. Prefix sums don't bring a
-source into one task: keys map to (0, 1), sources are cut there into buckets of about bucket_rows documents, the
-buckets' sums are summed up in order, and the running sum within a bucket finishes it. In the bucket where the budget
-runs out, later documents that still fit are taken in up to three more passes over the same window, so a long
-document at the border costs little; then one more document is taken if that comes nearer to the budget.
-
-Only the sources' totals, one row for each source, meet in one task. A null source is a source of its own, last.
-A null or empty text has size 0; it is in every complete epoch and takes nothing. Equal keys are ordered by doc_id;
-rows with the same id and text draw the same key. Other columns are ignored.
+source into one task: the keys' binary logarithm is cut into cells so narrow that none holds more than about a
+quarter of bucket_rows documents, whatever the weights, for a mixture of exponentials is nowhere dense on that scale;
+the cells are counted, neighbours make buckets of about bucket_rows documents, the buckets' sums are summed up in
+order, and the running sum within a bucket finishes it. In the bucket where the budget runs out, later documents that
+still fit are taken in up to three more passes over the same window, so a long document at the border costs little;
+then one more document is taken if that comes nearer to the budget.
+
+What meets in one task are the sources' totals, one row for each source, and a source's cells, some 15 for bucket_rows
+documents. A null source is a source of its own, last. A null or empty text has size 0; it is in every complete epoch
+and takes nothing. Very long texts are only counted. Equal keys are ordered by doc_id; rows with the same id and text
+draw the same key. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     left: gets the paths of the written stages that the result reads.
     """
     drawn = F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))), 1, 13), 16, 10).cast("double")
-    key = -F.ln((drawn + 1) / float(2**52 + 1)) / quality_weight(F.col("text"))
+    key = -F.ln((drawn + 1) / float(2**52 + 2)) / quality_weight(F.col("text"))
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key.alias("key"),
         F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carry"))
@@ -76,10 +79,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
     d = d.join(plan.withColumnRenamed("source", "s2").drop("n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    d = d.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("b"))
-    sums = sums.withColumn("before", F.sum("b").over(Window.partitionBy("source").orderBy("bucket")) - F.col("b"))
-    d = d.join(sums.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), "before"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).drop("s2", "b2")
+    # keys are above 0: the draw is below 1
+    d = d.withColumn("cell", F.floor(F.log2("key") * F.col("buckets")))
+    cells = d.groupBy("source", "cell").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
+    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumns({"sum": F.sum("b").over(upto) - F.col("b"), "bucket": F.floor((F.sum("c").over(upto) - F.col("c")) / bucket_rows)})
+    cells = cells.withColumn("before", F.min("sum").over(Window.partitionBy("source", "bucket")))
+    cells = materialize(cells.select(F.col("source").alias("s2"), F.col("cell").alias("c2"), "bucket", "before"), "mix-cells", left)
+    d = d.join(cells, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cell") == F.col("c2"))).drop("s2", "c2")
     own = Window.partitionBy("source", "bucket")
     order = own.orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("sum", F.col("before") + F.sum("size").over(order))
