@@ -5,14 +5,16 @@ it; two states and their transitions make the chain. The field is fitted by grad
 documents whose lines all carry the document's label. Forward-backward gives each line's marginal, and the marginals,
 weighted by line length, add up to the document's score.
 
-Labels come from rows of labels whose doc_id's crc32, taken of its decimal text, is not 0 modulo 5. fit_rows bounds
-the fitted sample: that many labelled documents at most, those with the smallest hashes of their ids; their line
-features, not their texts, go to the driver. Every text is scored whole. Neither labels, lang, source nor doc_id
-enters a score.
+Labels come from rows of labels whose doc_id's crc32, taken of its decimal text, is not 0 modulo 5. fit_rows and
+fit_lines bound the fitted sample: that many labelled documents at most, those with the smallest hashes of their ids,
+one row of each, and of a longer document that many lines in a row, from a place that its hash names; their line
+features, not their texts, go to the driver, at most 52 bytes a line. Every text is scored whole. Neither labels, lang,
+source nor doc_id enters a score.
 
 A null or empty text is one empty line and gets a score like any other. A document with labels that differ counts as
 good if at least half of them do; null labels are ignored. Without usable labels every score is 0.5. Rows with a null
-doc_id are scored and not held out. Repeated rows are scored each for itself. Other columns are ignored.
+doc_id are scored and not held out. Repeated rows are scored each for itself, very long texts one batch at a time.
+Empty tables give no rows. Other columns are ignored by scored and kept by keep_good, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, with_rows
 from .quality_rules import SYMBOLS
 
 THRESHOLD = 0.3
@@ -144,7 +146,8 @@ def fit(docs: list[np.ndarray], good: list[int], rounds: int = 80, rate: float =
     return Field(weights, moves, mean, scale)
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000, fit_lines: int = 1000) -> Field | None:
+    """The field fitted to the labelled sample; null without labels of both kinds."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
@@ -154,37 +157,50 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> Field | N
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [line_features(x)[0].tobytes() for x in pdf["text"]]
+            own = []
+            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                x = line_features(text)[0]
+                at = zlib.crc32(str(i).encode()) % max(len(x) - fit_lines + 1, 1)
+                own.append(x[at : at + fit_lines].tobytes())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "good": pdf["good"], "own": own})
 
-    rows = texts.mapInPandas(features, "doc_id long, good int, own binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["own"])))
+    found = texts.mapInPandas(with_rows(features), "doc_id long, good int, own binary")
+    rows = found.groupBy("doc_id", "good").agg(F.min("own").alias("own")).collect()  # one row for each chosen document
+    rows.sort(key=lambda r: r["doc_id"])
     if len({r["good"] for r in rows}) < 2:
         return None
     return fit([np.frombuffer(r["own"], np.float32).reshape(-1, N_OWN) for r in rows], [r["good"] for r in rows])
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = 2000) -> DataFrame:
-    """docs with _held_out, _score and _predicted."""
-    field = learn(docs, labels, fit_rows)
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, to: str = "quality", **how) -> DataFrame:
+    """docs with a struct column to: held_out, score, predicted."""
+    field = learn(docs, labels, **how)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(np.full(len(texts), 0.5) if field is None else np.clip(field.score(texts), 0, 1))
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return docs.withColumn("_held_out", held).withColumn("_score", score(F.col("text").cast("string"))).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    return docs.withColumn(to, score(F.col("text").cast("string"))).withColumn(
+        to, F.struct(held.alias("held_out"), F.col(to).alias("score"), (F.col(to) >= threshold).cast("int").alias("predicted")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name with as many marks behind as make it differ from all columns of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels).select(
-        "doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    c = classify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, to="q")
+    return c.select("doc_id", "q.held_out", "q.score", "q.predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that the classifier does not reject."""
-    names = docs.columns
-    return classify(docs, labels).where("_predicted = 1").select(*names)
+    """docs that the classifier does not reject, with all their columns."""
+    to = free_name(docs, "quality")
+    return classify(docs, labels, to=to).where(F.col(f"{to}.predicted") == 1).drop(to)
 
 
 def held_out(doc_id: int) -> bool:
