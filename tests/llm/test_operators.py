@@ -90,6 +90,48 @@ def test_line_dedup(docs, odd, clash, spark):
     assert line_dedup.dedup_lines_digests(odd.limit(0)).collect() == []
 
 
+def test_line_dedup_in_shards_and_turns(odd):
+    want = rows(line_dedup.dedup_lines(odd), "doc_id", "kept_text", "n_lines", "n_dropped")
+    for how in ({"max_filter_bytes": 2**6, "turn_bytes": 2**7}, {"max_filter_bytes": 2**6, "turn_bytes": 2**6, "bits_per_line": 64}):
+        assert rows(line_dedup.dedup_lines(odd, **how), "doc_id", "kept_text", "n_lines", "n_dropped") == want
+
+
+def test_tasks_without_rows_or_hits(spark):
+    """Tables without repeats, templates or calls, in more partitions than rows."""
+    texts = [f"line {k} of a text that no other document holds, not even in part" for k in range(12)]
+    df = spark.createDataFrame([(k, x, "en", "a", 1) for k, x in enumerate(texts)], DOCS).repartition(20)
+    assert rows(line_dedup.dedup_lines(df), "doc_id", "kept_text", "n_dropped") == sorted(((k, x, 0) for k, x in enumerate(texts)), key=repr)
+    assert rows(license_scan.scanned(df), "doc_id", "labels") == sorted(((k, "") for k in range(12)), key=repr)
+    one = df.where("doc_id = 3")
+    assert rows(line_dedup.dedup_lines(one), "doc_id", "n_lines") == [(3, 1)]
+    assert rows(license_scan.scanned(one), "doc_id", "n_base") == [(3, 0)]
+    assert rows(ngram_join.ngram_components(df, width=3, num=90, den=100), "doc_id", "component_id") == sorted(((k, k) for k in range(12)), key=repr)
+    assert len(packing.best_fit(df).collect()) == 12
+
+
+def test_hot_groups_meet_joins_that_split(spark):
+    """With low thresholds adaptive execution splits the join at which a hot group meets its verdict."""
+    hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, F.lit("a passage that half of all documents hold, to the last character of it")).otherwise(F.concat(F.lit("other text that stands alone "), "id")), F.lit(" " * 200)).alias("text")).repartition(8)
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+           "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        rows_ = hot.select("doc_id", F.substring("text", 1, 64).alias("digit"))
+        from echolot.llm.common import materialize
+
+        groups = materialize(rows_.groupBy("digit").count().where("count > 1"), "test-groups")
+        met = rows_.join(groups, "digit")
+        assert len(met.collect()) == 2000
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+        got = exact_dedup.exact_dedup(hot).where("group_size > 1").agg(F.count("*"), F.max("keep_id"), F.max("group_size")).first()
+        assert tuple(got) == (2000, 0, 2000)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_exact_dedup(docs, odd, clash):
     for df, given in both(docs, odd):
         groups = defaultdict(list)
@@ -327,6 +369,22 @@ def test_mixing(odd, clash, docs):
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in mixing.mixed(docs).collect())
 
 
+def test_mixing_buckets_stay_small_whatever_the_weights(spark):
+    """A source mostly of symbols, whose keys are larger than the others'."""
+    texts = [("word " * 8) + "#$%& " * (8 if k % 10 else 0) for k in range(6000)]
+    df = spark.createDataFrame([(k, x, "en", "a" if k % 3 else "b", 1) for k, x in enumerate(texts)], DOCS).repartition(4)
+    left: list[str] = []
+    out = mixing.mix(df, bucket_rows=100, left=left)
+    taken = {r["source"]: (r["t"], r["target"]) for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect()}
+    assert all(abs(t - target) <= 8 for t, target in taken.values())
+    cells = spark.read.parquet(*[x for x in left if "mix-cells" in x])
+    rows_ = spark.read.parquet(*[x for x in left if x.rpartition("/")[2].startswith("mix-") and not any(k in x for k in ("mix-cells", "mix-plan"))])
+    n = rows_.groupBy("source").count().withColumn("buckets", F.ceil(F.col("count") / 100))
+    cell = F.floor(F.log2("key") * F.col("buckets"))
+    met = rows_.join(n, "source").withColumn("c2", cell).join(cells.withColumnRenamed("s2", "source"), ["source", "c2"])
+    assert met.groupBy("source", "bucket").count().agg(F.max("count")).first()[0] < 300
+
+
 def test_quality_classifier(spark, odd, clash, labels):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality_classifier.scored(docs, labels)
@@ -341,6 +399,20 @@ def test_quality_classifier(spark, odd, clash, labels):
     assert quality_classifier.keep_good(odd, labels).columns == odd.columns
 
 
+def test_classifier_bounds_its_sample_and_keeps_columns(spark):
+    good, bad = "A plain sentence of ordinary words stands here.", "$$$ || !!! ## $$"
+    docs = [(k, "\n".join([good if k % 2 else bad] * (1 + k % 7)), 0.5 + k) for k in range(300)] + [(1, good, 9.0)] * 200 + [(900, None, 1.0), (901, good * 3000, 2.0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality double").repartition(3)
+    lab = spark.createDataFrame([(k, k % 2) for k in range(300)] + [(901, 1)], "doc_id long, quality int")
+    got = quality_classifier.keep_good(df, lab)
+    assert got.columns == df.columns
+    have = Counter((r["doc_id"], r["quality"]) for r in got.collect())
+    assert have[(1, 9.0)] == 200 and all(have[(k, 0.5 + k)] == k % 2 for k in range(300)) and have[(901, 2.0)] == 1
+    field = quality_classifier.learn(df, lab, fit_rows=40, fit_lines=3)
+    again = quality_classifier.learn(df.repartition(7), lab, fit_rows=40, fit_lines=3)
+    assert field.weights.tolist() == again.weights.tolist()
+
+
 def test_field_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     moves = rng.normal(size=(2, 2))
@@ -387,6 +459,76 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0)).collect() == []
 
 
+def test_chat_takes_any_text(spark):
+    deep = '{"tool_calls": [{"id": "d", "name": "search", "arguments": ' + "[" * 3000 + "]" * 3000 + "}]}"
+    given = [
+        (1, 1, "assistant", r'{"tool_calls": [{"id": "\ud800", "name": "search", "arguments": {"query": "\udfff x"}}]}'), (1, 2, "tool", r'{"tool_call_id": "\ud800", "content": 1}'),
+        (2, 1, "assistant", deep), (3, 1, "assistant", '{"tool_calls": [{"id": "n", "name": "search", "arguments": {"query": NaN}}]}'),
+        (4, 1, "assistant", '{"tool_calls": [{"id": "i", "name": "pick", "arguments": {"n": 1e999}}]}'), (5, 1, "assistant", '{"tool_calls": [{"id": "t", "name": "pick", "arguments": {"n": null}}]}'),
+        (6, 1, "assistant", '{"tool_calls": [{"id": "t", "name": "pick", "arguments": {"n": true}}]}'), (7, 1, "user", "x" * 300_000), (8, None, None, None)]
+    tools = chat.TOOLS | {"pick": {"type": "object", "properties": {"n": {"type": ["integer", "null"], "enum": [1, None]}}}}
+    got = {r["conv_id"]: r for r in chat.format_chat(spark.createDataFrame(given, "conv_id long, turn long, role string, text string"), tools).orderBy("turn").collect()}
+    assert [got[k]["kind"] for k in range(1, 9)] == ["result", "message", "message", "message", "call", "call", "message", "message"]
+    assert got[1]["status"] == "linked" and got[1]["call_id"] == "\\ud800" and json.loads(got[1]["json"])["content"] == 1
+    assert got[5]["valid"] is True and got[6]["valid"] is False
+    assert all(json.loads(r["json"], parse_constant=lambda x: pytest.fail(x)) for r in got.values())
+
+
+def test_chat_against_brute_force(spark):
+    """Random conversations with repeated identifiers, missing ends, forward references and cycles."""
+    import random
+
+    rng = random.Random(5)
+    given = []
+    for conv in range(40):
+        turn = 0
+        for _ in range(rng.randint(1, 9)):
+            turn += 1
+            ids = [f"c{rng.randint(0, 5)}" for _ in range(rng.randint(1, 2))]
+            if rng.random() < 0.55:
+                calls = [{"id": i, "name": "search", "arguments": {"query": {"$result": f"c{rng.randint(0, 5)}"} if rng.random() < 0.5 else "q"}} for i in ids]
+                given.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+            else:
+                given.append((conv, turn, "tool", json.dumps({"tool_call_id": ids[0], "content": turn})))
+    want = []
+    for conv in range(40):
+        nodes = []
+        for c, turn, role, text in given:
+            if c == conv:
+                for seq, kind, call_id, _, _, needs, js in chat.nodes_of(role, text, chat.TOOLS):
+                    nodes.append({"turn": turn, "seq": seq, "kind": kind, "id": call_id, "needs": needs, "json": js})
+        nodes.sort(key=lambda n: (n["turn"], n["seq"]))
+        first = {}
+        for n in nodes:
+            n["again"] = (n["kind"], n["id"]) in first
+            first.setdefault((n["kind"], n["id"]), n)
+        for n in nodes:
+            after = [first[("result", x)] for x in n["needs"] if ("result", x) in first]
+            if n["kind"] == "result" and not n["again"] and ("call", n["id"]) in first:
+                after.append(first[("call", n["id"])])
+            n["after"] = after
+
+        def place(n, path):
+            if any(n is p for p in path):
+                return None
+            if "place" not in n:
+                below = [place(b, [*path, n]) for b in n["after"]]
+                if any(b is None for b in below):
+                    return None
+                top = max(below, default=(-1, 0))
+                n["place"] = (n["turn"], 0) if top[0] < n["turn"] else (top[0], top[1] + 1)
+            return n["place"]
+
+        for n in nodes:
+            at = place(n, [])
+            peer = first.get(("result" if n["kind"] == "call" else "call", n["id"]))
+            status = "repeated" if n["again"] else "cycle" if at is None else "linked" if peer else "no_result" if n["kind"] == "call" else "no_call"
+            want.append((conv, n["turn"], n["seq"], n["kind"], n["id"], status, *(at or (n["turn"], 0))))
+    got = rows(chat.format_chat(spark.createDataFrame(given, "conv_id long, turn long, role string, text string").repartition(3)), "conv_id", "turn", "seq", "kind", "call_id", "status", "at_turn", "depth")
+    assert got == sorted(want, key=repr)
+    assert {r[5] for r in got} == {"linked", "repeated", "cycle", "no_result", "no_call"}
+
+
 def test_chat_orders_long_chains(spark):
     given, n = [], 54
     for k in range(n):
@@ -429,6 +571,29 @@ def test_warc(spark, tmp_path):
     assert warc.archive_round_trip(df.limit(0)).collect() == []
 
 
+def test_warc_headers_can_be_followed(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (3, "http://a/3", "<p>other</p>"), (None, "http://a/4", None)], "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(pages, f"file://{tmp_path}/w")
+    heads = []
+    for r in index.collect():
+        with open(r["file"].removeprefix("file://"), "rb") as f:
+            assert warc.parse(_first_member(r["file"]))[0]["WARC-Type"] == "warcinfo"
+            f.seek(r["offset"])
+            heads.append(warc.parse(f.read(r["length"]))[0])
+    revisit = next(h for h in heads if h["WARC-Type"] == "revisit")
+    first = next(h for h in heads if h["WARC-Record-ID"] == revisit["WARC-Refers-To"])
+    assert (first["WARC-Type"], first["WARC-Target-URI"], first["WARC-Date"]) == ("response", revisit["WARC-Refers-To-Target-URI"], revisit["WARC-Refers-To-Date"])
+    assert first["WARC-Target-URI"] == "http://a/2" and len({h["WARC-Record-ID"] for h in heads}) == 4
+
+
+def _first_member(file):
+    with open(file.removeprefix("file://"), "rb") as f:
+        raw = f.read()
+    d = zlib.decompressobj(wbits=31)
+    d.decompress(raw)
+    return raw[: len(raw) - len(d.unused_data)]
+
+
 def test_license_scan(odd, clash, docs):
     for df, given in both(docs, odd):
         want = []
