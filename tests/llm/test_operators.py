@@ -271,6 +271,34 @@ def test_ngram_join_with_small_leaves_and_long_texts(spark, monkeypatch):
         assert got == sorted([(k, 21_000, 0) for k in range(12)], key=repr)
 
 
+def test_ngram_join_in_deep_trees(spark, monkeypatch):
+    """Many levels, several components in a family, and pairs of leaves that only the second meeting connects."""
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "FAN", 1)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    rng = np.random.default_rng(8)
+    given = []
+    for k in range(150):
+        w = [f"t{i}" for i in range(40 + k % 9)]
+        for at in rng.integers(0, len(w), rng.integers(0, 4)):
+            w[at] = f"u{rng.integers(0, 12)}"
+        given.append((k, " ".join(w)))
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    assert rows(ngram_join.ngram_components(df, 1, 90, 100), "doc_id", "n_shingles", "component_id") == links(given, 1, 90, 100)
+
+
+def test_one_of_each_goes_by_rows(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    given = [(1, a, "x"), (2, a + " more", "x"), (2, b, "x"), (2, b, "y"), (None, b + " more", "x"), (None, "other words here", "x"), (3, None, "x"), (3, None, "x"), (4, "", "z")]
+    df = spark.createDataFrame(given, "doc_id long, text string, part string").repartition(3)
+    got = ngram_join.one_of_each(df, width=2)
+    assert got.columns == df.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    assert left == sorted([(1, a), (2, b), (None, "other words here"), (3, None), (3, None), (4, "")], key=repr)
+    assert ngram_join.one_of_each(df.limit(0)).collect() == []
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1080)] + [(2000, k) for k in range(2001, 2100)]
