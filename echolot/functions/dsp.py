@@ -75,22 +75,30 @@ def band_pass(x: np.ndarray, fs: float, low: float | None, high: float | None) -
 
 
 def silent_mask(x: np.ndarray, fs: float, least_s: float, window_s: float = 0.02) -> np.ndarray:
-    """Samples in runs of at least least_s whose log RMS lies 3 MAD under the median; all if all is zero, none if it would be all."""
+    """Samples in runs of at least least_s whose RMS lies 3 MAD of its logarithm under the median, zeros left aside.
+
+    The threshold is at least a millionth of the loudest window; runs no further apart than a window become one. All if
+    all is zero, none if it would be all.
+    """
+    x = np.asarray(x, float)
     n = max(2 * round(window_s * fs / 2), 2)
     if len(x) < n:
         return np.zeros(len(x), bool)
-    rms = np.sqrt((np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), n)[:: n // 2] ** 2).mean(1))
-    if not rms.any():
+    hop = n // 2
+    rms = np.sqrt((np.lib.stride_tricks.sliding_window_view(x, n)[::hop] ** 2).mean(1))
+    some = rms[rms > 0]
+    if not len(some):
         return np.ones(len(x), bool)
-    level = np.log10(rms + 1e-12)
+    level = np.log10(some + np.finfo(float).eps)
     mid = np.median(level)
-    low = level < mid - 3 * np.median(np.abs(level - mid))
-    out = np.zeros(len(x), bool)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], low.astype(int), [0]])))
-    for a, b in edges.reshape(-1, 2):
-        start, end = a * n // 2, min((b - 1) * n // 2 + n, len(x))
-        if end - start >= least_s * fs:
-            out[start:end] = True
+    low = rms < max(10 ** (mid - 3 * np.median(np.abs(level - mid))), some.max() * 1e-6)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], low.astype(int), [0]]))).reshape(-1, 2)
+    # from 0, ends exclusive; a run up to the last window reaches to the last sample
+    runs = [(a * hop, len(x) if b == len(low) else min(b * hop + n - 1, len(x))) for a, b in edges.tolist()]
+    out, last = np.zeros(len(x), bool), None
+    for a, b in (r for r in runs if r[1] - r[0] >= least_s * fs):
+        out[last if last is not None and a + 1 - last <= n else a : b] = True
+        last = b
     return np.zeros(len(x), bool) if out.all() else out
 
 

@@ -29,11 +29,15 @@ def round_half_away(x: Column, digits: int = 0) -> Column:
     return F.round(x, digits)
 
 
-#: Patterns of a start time in a recording's name, tried in order, and how to read what they catch.
+#: Patterns of a start time in a recording's name, tried in order, and how to read the digits they catch; fixed values.
 NAME_PATTERNS = (
     (r"(\d{8}[_-]\d{6})", "yyyyMMddHHmmss"),
-    (r"(\d{6}[_-]\d{6})", "yyMMddHHmmss"),
-    (r"^\d*_?(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})", "yyyyMMddHHmmss"),
+    (r"^(\d{8}[_-]\d{6})", "yyyyMMddHHmmss"),
+    (r"[A-Za-z0-9]+_(\d{6}-\d{6})", "yyMMddHHmmss"),
+    (r"^(\d{4}-\d{2}-\d{2}[_-]\d{2}-\d{2}-\d{2})", "yyyyMMddHHmmss"),
+    (r"^(\d{4}-\d{2}-\d{2}[_-]\d{2}:\d{2}:\d{2})", "yyyyMMddHHmmss"),
+    (r"^(\d{8}[_-]\d{2}:\d{2}:\d{2})", "yyyyMMddHHmmss"),
+    (r"^\d+_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})", "yyyyMMddHHmmss"),
 )
 
 
@@ -139,3 +143,21 @@ def clip_pages(duration: Column, page: float) -> Column:
 
 def golden(lo: float = 0.01, hi: float = 10.0) -> float:
     return (math.sqrt(5) - 1) / 2 * (hi - lo)
+
+
+def missed_range(detected: Column, name: Column, fs: Column, longest_s: float) -> tuple[Column, Column]:
+    """First and last sample of a missed event, from its time and the start in its file's name; null without one or if it lies before."""
+    lag = (micros(detected) - micros(time_from_name(file_stem(name)))) / 1e6
+    start = F.when(lag >= 0, F.round(lag * fs) + 1).cast("long")
+    return start, (start + F.round(F.lit(longest_s) * fs) - 1).cast("long")
+
+
+def expected_frames(samples: Column, fs: Column, target: float, window: int, hop: int) -> Column:
+    """how many frames a recording's probabilities should have, at rates whose ratio is that of small integers."""
+    n = F.when(fs == target, samples).otherwise(F.ceil(samples * target / fs))
+    return F.ceil((n + 2 * math.ceil(window / 2) - window + hop) / hop).cast("long")
+
+
+def fail_comment(readable: Column, start: Column, valid: Column) -> Column:
+    """why a recording is passed over, else null."""
+    return F.when(~F.coalesce(readable, F.lit(False)), "unreadable").when(start.isNull(), "no start time").when(~F.coalesce(valid, F.lit(False)), "invalid audio")

@@ -75,7 +75,13 @@ def recursive_mean(values: Column, b: float) -> Column:
     return run(values)
 
 
-def pcen(values: Column, b: float, gain: float = 0.8, bias: float = 10.0, root: float = 0.25, eps: float = 1e-6) -> Column:
+def pcen_coefficient(seconds: float, fs: float, hop: int) -> float:
+    """B of the recursive mean for a time constant."""
+    t = seconds * fs / hop
+    return ((1 + 4 * t * t) ** 0.5 - 1) / (2 * t * t)
+
+
+def pcen(values: Column, b: float, gain: float = 0.98, bias: float = 2.0, root: float = 0.5, eps: float = 1e-6) -> Column:
     """Energies over their recursive mean, compressed."""
     return F.zip_with(values, recursive_mean(values, b), lambda e, m: F.pow(e / F.pow(eps + m, F.lit(gain)) + bias, F.lit(root)) - F.pow(F.lit(bias), F.lit(root)))
 

@@ -56,11 +56,48 @@ def sample_to_frame(sample: Column, hop: int, window: int) -> Column:
     return F.greatest(F.round((sample - 1 + window // 2) / hop) + 1, F.lit(1)).cast("long")
 
 
+def running(frames: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """(_by, _at) with sums up to and before each frame: _s, _c, _nan and _s0, _c0, _nan0, of values, of those not null, of NaN."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = F.col(value)
+    own = {"_s": F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)), "_c": v.isNotNull().cast("long"), "_nan": F.coalesce(F.isnan(v), F.lit(False)).cast("long")}
+    return frames.select(F.col(by).alias("_by"), F.col(order).alias("_at"), *[F.sum(c).over(w).alias(n) for n, c in own.items()], *[(F.sum(c).over(w) - c).alias(f"{n}0") for n, c in own.items()])
+
+
 def confidence(regions: DataFrame, frames: DataFrame, by: str = "file", order: str = "frame", value: str = "prob") -> DataFrame:
-    """Adds the mean value of the frames of each region. Equi-join on by with the region as residual condition."""
-    f = frames.select(F.col(by).alias("_by"), F.col(order).alias("_at"), F.col(value).alias("_v"))
-    met = regions.join(f, (F.col(by) == F.col("_by")) & F.col("_at").between(F.col("first"), F.col("last")))
-    return met.groupBy(*regions.columns).agg(F.avg("_v").alias("confidence"))
+    """W9 by frames: adds the mean value of the frames of each region, whose first and last frame are there.
+
+    Running sums meet the regions at these two frames, by equality: the cost does not grow with the length of a region.
+    """
+    r = running(frames, by, order, value)
+    low = r.select(F.col("_by").alias(by), F.col("_at").alias("first"), "_s0", "_c0", "_nan0")
+    high = r.select(F.col("_by").alias(by), F.col("_at").alias("last"), "_s", "_c", "_nan")
+    met = regions.join(low, [by, "first"]).join(high, [by, "last"])
+    mean = F.when(F.col("_nan") > F.col("_nan0"), F.lit(float("nan"))).when(F.col("_c") > F.col("_c0"), (F.col("_s") - F.col("_s0")) / (F.col("_c") - F.col("_c0")))
+    return met.select(*regions.columns, mean.alias("confidence"))
+
+
+def sample_spans(frames: DataFrame, hop: int, total: Column | int, order: str = "frame", value: str = "prob") -> DataFrame:
+    """W8 at one rate: the samples first_sample..last_sample of 1..total that each frame's value holds for, in 0..1. What no frame covers is 0."""
+    last = F.least(F.col(order) * hop, F.lit(total) if isinstance(total, int) else total)
+    x = frames.withColumns({"first_sample": ((F.col(order) - 1) * hop + 1).cast("long"), "last_sample": last.cast("long"), value: F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0))})
+    return x.where("first_sample <= last_sample")
+
+
+def sample_confidence(regions: DataFrame, frames: DataFrame, hop: int, total: Column | int, by: str = "file", order: str = "frame", value: str = "prob") -> DataFrame:
+    """Adds the mean sample probability from start_sample to end_sample, at most total; frames are numbered from 1 without gaps."""
+    r = running(frames.withColumn(value, F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0))), by, order, value)
+    n = frames.groupBy(F.col(by).alias("_n_by")).agg(F.max(order).alias("_n"))
+    end = F.least(F.col("end_sample"), F.lit(total) if isinstance(total, int) else total)
+    x = regions.join(n, F.col(by) == F.col("_n_by")).drop("_n_by").withColumn("_end", end)
+    # the area up to a sample: whole frames before its own, and its share of that
+    for name, at in (("_a", F.col("start_sample") - 1), ("_b", F.col("_end"))):
+        x = x.withColumn(f"{name}at", at).withColumn(f"{name}f", F.least(F.ceil(F.col(f"{name}at") / hop), F.col("_n")).cast("long"))
+        side = r.select(F.col("_by").alias(f"{name}by"), F.col("_at").alias(f"{name}k"), F.col("_s").alias(f"{name}s"), F.col("_s0").alias(f"{name}s0"))
+        x = x.join(side, (F.col(by) == F.col(f"{name}by")) & (F.col(f"{name}f") == F.col(f"{name}k")), "left")
+        part = F.least(F.col(f"{name}at") - (F.col(f"{name}f") - 1) * hop, F.lit(hop))
+        x = x.withColumn(name, F.coalesce(F.col(f"{name}s0") * hop + (F.col(f"{name}s") - F.col(f"{name}s0")) * part, F.lit(0.0)))
+    return x.select(*regions.columns, F.when(F.col("_end") >= F.col("start_sample"), (F.col("_b") - F.col("_a")) / (F.col("_end") - F.col("start_sample") + 1)).alias("confidence"))
 
 
 def detect(frames: DataFrame, on: float = 0.5, off: float = 0.2, gap: int = 1, least: int = 1, by: str = "file") -> DataFrame:

@@ -74,13 +74,17 @@ def match_events(detections: DataFrame, truth: DataFrame, tol_us: int, by: list[
 
 
 def greedy_match(detections: DataFrame, truth: DataFrame, tol_us: int, by: str) -> DataFrame:
-    """The nearest detection of each reference within tol, or none; a detection may serve several references."""
+    """References in time order take their nearest detection if it lies within tol and no earlier one took it, else none.
+
+    The nearest does not depend on what is taken, so each detection goes to the first reference that it is nearest to.
+    """
     bucket = lambda t: F.floor(micros(t) / tol_us)
     t = truth.withColumn("_b", F.explode(F.array(bucket("t_time") - 1, bucket("t_time"), bucket("t_time") + 1)))
     d = detections.withColumn("_b", bucket("d_time"))
     gap = F.abs(micros("t_time") - micros("d_time"))
     near = t.join(d, [by, "_b"]).withColumn("gap_us", gap).where(F.col("gap_us") <= tol_us)
-    return near.groupBy("t_id").agg(F.min(F.struct("gap_us", "d_id")).alias("m")).select("t_id", F.col("m.d_id").alias("d_id"), F.col("m.gap_us").alias("gap_us"))
+    near = near.groupBy(by, "t_id", "t_time").agg(F.min(F.struct("gap_us", "d_time", "d_id")).alias("m"))
+    return near.groupBy(by, F.col("m.d_id").alias("d_id")).agg(F.min(F.struct("t_time", "t_id", "m.gap_us")).alias("f")).select("f.t_id", "d_id", "f.gap_us")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_value: str, to: str = "found") -> DataFrame:

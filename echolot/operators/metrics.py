@@ -72,11 +72,18 @@ def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
 
 def alarm_curve(df: DataFrame, score: str, label: str, n_truth: int | Column, seconds: float | Column, by: list[str] | None = None) -> DataFrame:
-    """A10: recall of the references and false alarms a second at each distinct score."""
+    """A10: recall of the references and false alarms a second at each distinct score, and at one step above the largest and below the smallest."""
     by = by or []
     g = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_q"))
-    run = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(*by, score, (F.sum("_p").over(run) / n_truth).alias("tpr"), (F.sum("_q").over(run) / seconds).alias("alarms_per_s"))
+    w = Window.partitionBy(*by)
+    run = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    s = F.col(score)
+    step = F.when(s == 0, F.lit(5e-324)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(s))) - 52))
+    c = g.withColumns({"_tp": F.sum("_p").over(run), "_fp": F.sum("_q").over(run), "_most": F.max(score).over(w), "_least": F.min(score).over(w)})
+    point = lambda at, tp, fp: F.struct(at.alias("s"), tp.alias("tp"), fp.alias("fp"))
+    none = F.lit(0).cast("long")
+    points = F.array_compact(F.array(point(s, F.col("_tp"), F.col("_fp")), F.when(s == F.col("_most"), point(s + step, none, none)), F.when(s == F.col("_least"), point(s - step, F.col("_tp"), F.col("_fp")))))
+    return c.select(*by, F.explode(points).alias("_x")).select(*by, F.col("_x.s").alias(score), (F.col("_x.tp") / n_truth).alias("tpr"), (F.col("_x.fp") / seconds).alias("alarms_per_s"))
 
 
 def best_temperature(df: DataFrame, score: str, label: str, lo: float = 0.01, hi: float = 10.0, steps: int = 60) -> float | None:
@@ -143,15 +150,114 @@ def adjudicated(flips: DataFrame, n_truth: int, n_tp: int, n_detected: int) -> D
     return g.withColumns({"recall": ratio(F.col("tp"), F.col("truth")), "precision": F.col("tp") / n_detected})
 
 
-def loss_analysis(log: DataFrame, value: str, order: str, by: list[str], recent: int = 10) -> DataFrame:
-    """Reduction, recent mean and deviation, share of sign changes, slope of the second half."""
+def loss_analysis(log: DataFrame, value: str, order: str, by: list[str], recent: int = 10, most_turns: float = 0.5) -> DataFrame:
+    """Reduction, recent mean and deviation, share of changes of direction, stability, slope of the later half, and what they say."""
     w = Window.partitionBy(*by).orderBy(order)
     x = log.withColumns({"_d": F.col(value) - F.lag(value).over(w), "_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*by))})
-    x = x.withColumn("_turn", (F.signum("_d") * F.signum(F.lag("_d").over(w)) < 0).cast("int"))
-    late, second = F.col("_k") > F.col("_n") - recent, 2 * F.col("_k") > F.col("_n")
-    return x.groupBy(*by).agg(
-        (100 * (F.min_by(value, "_k") - F.max_by(value, "_k")) / F.min_by(value, "_k")).alias("reduction_pct"), F.avg(F.when(late, F.col(value))).alias("recent_mean"), F.stddev_samp(F.when(late, F.col(value))).alias("recent_std"),
-        (F.sum("_turn") / F.greatest(F.max("_n") - 2, F.lit(1))).alias("turn_ratio"), F.regr_slope(F.when(second, F.col(value)), F.when(second, F.col("_k").cast("double"))).alias("late_slope"))
+    x = x.withColumn("_turn", (F.signum("_d") != F.signum(F.lag("_d").over(w))).cast("int"))
+    late, half = F.col("_k") > F.col("_n") - recent, F.col("_k") >= F.ceil(F.col("_n") / 2)
+    g = x.groupBy(*by).agg(
+        F.min_by(value, "_k").alias("first"), F.max_by(value, "_k").alias("final"), F.max("_n").alias("n"), F.avg(F.when(late, F.col(value))).alias("recent_mean"), F.stddev_samp(F.when(late, F.col(value))).alias("_sd"),
+        F.sum("_turn").alias("_turns"), F.stddev_samp("_d").alias("_d_sd"), F.avg(F.abs("_d")).alias("_d_size"), F.regr_slope(F.when(half, F.col(value)), F.when(half, F.col("_k").cast("double"))).alias("late_slope"))
+    long = F.col("n") > 5
+    variation = F.when(F.col("recent_mean") > 0, F.col("recent_std") / F.col("recent_mean")).otherwise(0.0)
+    return g.withColumn("recent_std", F.coalesce("_sd", F.lit(0.0))).withColumn("variation", variation).select(
+        *by, F.when(F.col("first") != 0, 100 * (F.col("first") - F.col("final")) / F.col("first")).otherwise(0.0).alias("reduction_pct"), "recent_mean", "recent_std", "variation", (F.col("variation") < 0.01).alias("converged"),
+        F.when(long, F.col("_turns") / (F.col("n") - 1)).otherwise(0.0).alias("turn_ratio"), (long & (F.col("_turns") / (F.col("n") - 1) > most_turns)).alias("oscillating"),
+        (long & (F.col("final") > F.col("first"))).alias("increasing"), F.when(long, ratio(F.col("_d_sd"), F.col("_d_size"))).otherwise(0.0).alias("stability"), "late_slope")
+
+
+def overfitting(log: DataFrame, train: str, val: str, order: str, by: list[str], threshold: float = 0.1) -> DataFrame:
+    """The gap of validation over training loss, both slopes over the later half, and whether and how badly it overfits. Under 5 rows: null severity."""
+    w = Window.partitionBy(*by)
+    x = log.where(F.col(train).isNotNull() & F.col(val).isNotNull()).withColumns({"_k": F.row_number().over(w.orderBy(order)), "_n": F.count("*").over(w), "_gap": F.col(val) - F.col(train)})
+    half = F.greatest(F.ceil(F.col("_n") / 2), F.lit(1))
+    slope = lambda c: F.regr_slope(F.when(F.col("_k") >= half, F.col(c)), F.when(F.col("_k") >= half, F.col("_k").cast("double")))
+    g = x.groupBy(*by).agg(F.max("_n").alias("n"), F.max_by("_gap", "_k").alias("final_gap"), F.max("_gap").alias("max_gap"), F.avg("_gap").alias("mean_gap"), F.min_by("_gap", "_k").alias("_first"), slope(train).alias("train_slope"), slope(val).alias("val_slope"))
+    enough, trend = F.col("n") >= 5, F.col("n") - F.ceil(F.col("n") / 2) >= 3
+    is_over = (F.col("val_slope") - F.col("train_slope") > threshold) & (F.abs("final_gap") > threshold) & ((F.col("val_slope") > 0) | (F.col("train_slope") < 0))
+    g = g.withColumn("overfitting", enough & trend & F.coalesce(is_over, F.lit(False)))
+    size = F.abs("final_gap")
+    severity = F.when(~enough, F.lit(None)).when(~trend, "Unknown").when(~F.col("overfitting"), "None").when(size > 3 * threshold, "Severe").when(size > 2 * threshold, "Moderate").otherwise("Mild")
+    own = lambda c, on: F.when(on, c)
+    return g.select(*by, *[own(F.col(c), enough).alias(c) for c in ("final_gap", "max_gap", "mean_gap")], own(F.col("final_gap") - F.col("_first"), enough).alias("gap_trend"),
+                    *[own(F.col(c), enough & trend).alias(c) for c in ("train_slope", "val_slope")], "overfitting", severity.alias("severity"))
+
+
+def metric_direction(log: DataFrame, name: str, value: str, order: str) -> DataFrame:
+    """For each metric by its name whether it should grow, and by how much it got better from first to last."""
+    grows = F.lower(F.col(name)).rlike("accuracy|acc|precision|recall|f1")
+    g = log.groupBy(name).agg(F.min_by(value, order).alias("initial"), F.max_by(value, order).alias("final"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    better = F.when(grows, F.col("final") - F.col("initial")).otherwise(F.col("initial") - F.col("final"))
+    return g.withColumns({"should_increase": grows, "improvement": better, "improving": better > 0})
+
+
+#: Issues and what to do about them; fixed values.
+ISSUES = (
+    ("increasing", "Training loss is increasing", "URGENT: Check data preprocessing, reduce learning rate, or revise model architecture"),
+    ("oscillating", "High training loss oscillations", "Reduce learning rate, use learning rate scheduler, or add batch normalization"),
+    ("not_converged", "Training loss not converged", "Train longer, adjust learning rate, or check for gradient issues"),
+    ("vanishing", "Vanishing gradients", "Use better initialization (Xavier/He), add residual connections, or gradient clipping"),
+    ("exploding", "Exploding gradients", "Apply gradient clipping, reduce learning rate, or add batch normalization"),
+    ("unstable", "Unstable gradients", "Add batch normalization, reduce learning rate, or use gradient clipping"),
+    ("rate_high", "Learning rate may be too high", "Reduce initial learning rate or use learning rate scheduler"),
+    ("premature", "Premature convergence", "Use learning rate scheduler, increase model capacity, or train longer"),
+    ("poor", "Poor convergence quality", "Train longer, adjust learning rate schedule, or improve optimization settings"),
+)
+OVERFIT_ADVICE = ("URGENT: Add strong regularization, reduce model complexity, increase dataset size", "Add regularization (dropout, weight decay), early stopping, or data augmentation")
+
+
+def issues(x: DataFrame) -> DataFrame:
+    """Adds issues and recommendations (each once, in order) from increasing, oscillating, converged, severity, vanishing, exploding, unstable, rate_high, premature, well_converged; null where something was not looked at."""
+    c, no = F.col, lambda k: F.coalesce(F.col(k), F.lit(False))
+    seen = c("converged").isNotNull()
+    holds = {
+        "increasing": no("increasing"), "oscillating": ~no("increasing") & no("oscillating"), "not_converged": seen & ~no("increasing") & ~no("oscillating") & ~no("converged"),
+        "vanishing": no("vanishing"), "exploding": no("exploding"), "unstable": no("unstable"), "rate_high": no("rate_high"), "premature": no("premature"), "poor": c("well_converged").isNotNull() & ~no("premature") & ~no("well_converged")}
+    over = c("severity").isin("Severe", "Moderate", "Mild")
+    rows = [(F.when(holds[k], F.lit(issue)), F.when(holds[k], F.lit(advice))) for k, issue, advice in ISSUES]
+    rows.insert(3, (F.when(over, F.concat(c("severity"), F.lit(" overfitting detected"))), F.when(c("severity") == "Severe", OVERFIT_ADVICE[0]).when(over, OVERFIT_ADVICE[1])))
+    return x.withColumns({"issues": F.array_compact(F.array(*[a for a, _ in rows])), "recommendations": F.array_distinct(F.array_compact(F.array(*[b for _, b in rows])))})
+
+
+def peak(sweep: DataFrame, value: str, param: str, by: list[str]) -> DataFrame:
+    """The largest value of a sweep and the first parameter that has it."""
+    best = F.max_by(F.struct(param, value), F.struct(F.coalesce(F.nanvl(F.col(value), F.lit(None)), F.lit(float("-inf"))), -F.col(param)))
+    return sweep.groupBy(*by).agg(best.alias("_b")).select(*by, F.col(f"_b.{param}").alias(param), F.col(f"_b.{value}").alias(value))
+
+
+def clip_durations(clips: DataFrame, samples: str, fs: str, valid: str, by: list[str]) -> DataFrame:
+    """Mean, least and most seconds of the valid clips."""
+    d = F.when(F.col(valid), F.col(samples) / F.col(fs))
+    return clips.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_s"), F.min(d).alias("least_s"), F.max(d).alias("most_s"))
+
+
+def file_dynamic_range(cells: DataFrame, by: str, frame: str, band: str, value: str) -> DataFrame:
+    """Of a spectrum's cells in dB, ranges over all, over time and over bands, amplitudes, and outliers beyond five MAD."""
+    whole = cells.groupBy(by).agg(F.max(value).alias("most"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"))
+    whole = whole.withColumn("range", F.col("most") - F.col("least"))
+    p = midpoint_percentiles(cells, value, [0.1, 99.9], [by]).groupBy(by).agg((F.max(F.when(F.col("level") > 50, F.col("percentile"))) - F.max(F.when(F.col("level") < 50, F.col("percentile")))).alias("robust_range"))
+    robust = mad(cells, value, [by]).withColumn("robust_std", 1.4826 * F.col("mad"))
+    out = whole.join(p, by).join(robust, by).withColumn("outlier_pct", 100 * F.col("outliers") / F.col("n"))
+    for name, key in (("temporal", frame), ("band", band)):
+        each = cells.groupBy(by, key).agg((F.max(value) - F.min(value)).alias("_r")).groupBy(by).agg(
+            F.max("_r").alias(f"{name}_max"), F.avg("_r").alias(f"{name}_mean"), F.stddev_samp("_r").alias(f"{name}_std"), F.median("_r").alias(f"{name}_median"))
+        out = out.join(each, by)
+    return out
+
+
+def dataset_dynamic_range(files: DataFrame, cells: DataFrame, value: str) -> DataFrame:
+    """One row over all files of A18 and all cells: spread of the ranges, advice on saturation and standardisation."""
+    g = files.agg(
+        F.count("*").alias("files"), F.avg("range").alias("range_mean"), F.stddev_samp("range").alias("range_std"), F.median("range").alias("range_median"), F.avg("robust_range").alias("robust_mean"), F.stddev_samp("robust_range").alias("robust_std"),
+        F.max("most").alias("most"), F.min("least").alias("least"), F.avg("mean").alias("level_mean"), F.median("median").alias("level_median"), F.stddev_samp("std").alias("std_consistency"), F.stddev_samp("mad").alias("mad_consistency"),
+        (F.stddev_samp("mean") / F.abs(F.avg("mean"))).alias("level_variation"), F.avg(F.col("std") / (F.col("mad") * 1.4826)).alias("std_inflation"))
+    all_ = midpoint_percentiles(cells, value, [1, 5, 95, 99]).agg(*[F.max(F.when(F.col("level") == k, F.col("percentile"))).alias(f"_p{k}") for k in (1, 5, 95, 99)])
+    quarter = midpoint_percentiles(files, "range", [75]).agg(F.max("percentile").alias("_q3"))
+    x = g.crossJoin(all_).crossJoin(quarter)  # one row each
+    return x.withColumns({
+        "saturation_conservative": F.ceil(F.col("robust_mean") + 2 * F.col("robust_std")), "saturation_95": F.ceil(F.col("_p95") - F.col("_p5")), "saturation_99": F.ceil(F.col("_p99") - F.col("_p1")), "saturation_data": F.ceil("_q3"),
+        "standardization": F.when(F.col("std_inflation") > 1.5, "robust").otherwise("standard"), "strategy": F.when(F.col("range_std") / F.col("range_mean") > 0.3, "file-level-normalization").otherwise("global-normalization")}).drop("_p1", "_p5", "_p95", "_p99", "_q3")
 
 
 def rate_changes(log: DataFrame, rate: str, loss: str, order: str, by: list[str]) -> DataFrame:
@@ -161,12 +267,21 @@ def rate_changes(log: DataFrame, rate: str, loss: str, order: str, by: list[str]
     return x.groupBy(*by).agg(F.sum("_c").alias("changes"), F.avg("_w").alias("bad_ratio"))
 
 
-def convergence(log: DataFrame, value: str, order: str, by: list[str], width: int = 5, flat: float = 0.01) -> DataFrame:
-    """The first place where the moving mean changes by less than flat of itself."""
+def convergence(log: DataFrame, value: str, order: str, by: list[str], flat: float = 0.001) -> DataFrame:
+    """Plateau, the first place from which the moving mean improves by less than flat of itself, its percentage, and whether it came early.
+
+    The mean is over min(5, ceil(n / 10)) rows; without such a place, or with 10 rows or fewer, plateau is n.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    x = log.withColumn("_m", F.avg(value).over(w.rowsBetween(-(width // 2), (width - 1) // 2)))
-    x = x.withColumns({"_r": F.abs(F.col("_m") - F.lag("_m").over(w)) / F.abs(F.lag("_m").over(w)), "_k": F.row_number().over(w)})
-    return x.groupBy(*by).agg(F.min(F.when(F.col("_r") < flat, F.col("_k"))).alias("plateau"))
+    x = log.withColumns({"_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*by))})
+    width = F.least(F.lit(5), F.ceil(F.col("_n") / 10))
+    mean = lambda k: F.avg(value).over(w.rowsBetween(-(k // 2), (k - 1) // 2))
+    x = x.withColumn("_m", F.when(width == 2, mean(2)).when(width == 3, mean(3)).when(width == 4, mean(4)).otherwise(mean(5)))
+    x = x.withColumn("_r", (F.col("_m") - F.lead("_m").over(w)) / F.col("_m"))
+    at = F.when((F.col("_n") > 10) & (F.col("_r") < flat), F.struct(F.col("_k").cast("long").alias("k"), F.col(value).alias("v")))
+    g = x.groupBy(*by).agg(F.min(at).alias("_p"), F.max("_n").alias("_n"))
+    return g.select(*by, F.coalesce("_p.k", "_n").alias("plateau"), F.when(F.col("_n") > 10, 100 * F.coalesce("_p.k", "_n") / F.col("_n")).otherwise(100.0).alias("plateau_pct"),
+                    F.coalesce((F.col("_n") - F.col("_p.k") > 0.3 * F.col("_n")) & (F.col("_p.v") > 0.01), F.lit(False)).alias("premature"))
 
 
 def extreme_score(frames: DataFrame, value: str, by: list[str]) -> DataFrame:
