@@ -114,10 +114,11 @@ def w11_split_long(spark, sf):
     return intervals.split_long(merged(spark, sf), 4.0).select("file", "first", "last", "piece", "piece_start", "piece_end")
 
 
-@query(LISTS + ", e AS (SELECT file, p, unnest([1, 3]) AS first FROM series) SELECT file, first::BIGINT AS first, first::BIGINT + 1 AS last, round(list_sum(p[first:first + 1]), 9) AS total FROM e")
+@query(MERGED + " SELECT m.file, m.first, m.last, round(sum(f.prob), 9) AS total FROM merged m JOIN frames f ON f.file = m.file AND f.frame BETWEEN m.first AND m.last WHERE m.last - m.first + 1 > 1 GROUP BY ALL")
 def w14_flatten(spark, sf):
-    ev = F.array(*[F.struct(F.lit(k).cast("long").alias("first"), F.lit(k + 1).cast("long").alias("last")) for k in (1, 3)])
-    x = intervals.flatten_detections(series(spark, sf).withColumnRenamed("values", "probabilities").withColumn("events", ev))
+    found = intervals.detect(frames(spark, sf).select("file", "frame", "prob"), 0.5, 0.2, 2, 1)
+    ev = found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("events"))
+    x = intervals.flatten_detections(series(spark, sf).withColumnRenamed("values", "probabilities").join(ev, "file"))
     return x.select("file", "first", "last", r9(F.aggregate("probabilities", F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
@@ -140,13 +141,10 @@ def w17_overlap_average(spark, sf):
     return framing.overlap_average(framing.framed(series(spark, sf), 10, 5), 5).select("file", "bin", r9("value").alias("value"))
 
 
-@query(LISTS + """, b AS (SELECT file, p, len(p) AS bins FROM series), a AS (SELECT file, bins, unnest(range(1, least(bins, 10) + 1)) AS bin, 1 AS seg, p FROM b UNION ALL SELECT file, bins, unnest(range(6, least(bins, 20) + 1)), 2, p FROM b WHERE bins >= 6),
-v AS (SELECT file, bin, avg(p[bin]) AS v FROM a GROUP BY file, bin), s AS (SELECT file, unnest(range(1, bins + 1)) AS bin FROM b) SELECT s.file, s.bin, round(coalesce(v.v, 0), 9) AS value FROM s LEFT JOIN v ON v.file = s.file AND v.bin = s.bin""")
+@query(FRAMES + " SELECT file, frame AS bin, round(prob, 9) AS value FROM frames")
 def w18_stitch(spark, sf):
     s = series(spark, sf).withColumn("bins", F.size("values").cast("long"))
-    one = s.select("file", "bins", F.lit(1).alias("start_bin"), F.slice("values", 1, 10).alias("values"))
-    two = s.where("bins >= 6").select("file", "bins", F.lit(6).alias("start_bin"), F.slice("values", 6, 15).alias("values"))
-    return framing.stitch(one.union(two)).select("file", "bin", r9("value").alias("value"))
+    return framing.stitch(framing.framed(s, 10, 5, keep_rest=True).withColumnRenamed("start", "start_bin")).select("file", "bin", r9("value").alias("value"))
 
 
 @query(MASK + " SELECT file, floor((frame - 1) / 8.0)::BIGINT AS block, 2 * sum(active::INT) > count(*) AS active FROM mask GROUP BY ALL")
@@ -175,27 +173,14 @@ def w25_differences(spark, sf):
     return framing.differences(frames(spark, sf)).select("file", "frame", r9("diff").alias("diff"), "turn")
 
 
-@query("WITH RECURSIVE " + FRAMES + ", m AS (SELECT file, 1::BIGINT AS frame, prob AS m FROM frames WHERE frame = 1 UNION ALL SELECT f.file, f.frame, 0.9 * m.m + 0.1 * f.prob FROM m JOIN frames f ON f.file = m.file AND f.frame = m.frame + 1 WHERE f.frame <= 50) SELECT file, frame, round(m, 9) AS m FROM m")
+@query("WITH RECURSIVE " + FRAMES + ", m AS (SELECT file, 1::BIGINT AS frame, prob AS m FROM frames WHERE frame = 1 UNION ALL SELECT f.file, f.frame, 0.9 * m.m + 0.1 * f.prob FROM m JOIN frames f ON f.file = m.file AND f.frame = m.frame + 1) SELECT file, frame, round(m, 9) AS m FROM m")
 def w26_recursive_mean(spark, sf):
-    s = series(spark, sf).select("file", F.posexplode(framing.recursive_mean(F.slice("values", 1, 50), 0.1)).alias("k", "m"))
-    return s.select("file", (F.col("k") + 1).cast("long").alias("frame"), r9("m").alias("m"))
-
-
-@query("WITH RECURSIVE " + FRAMES + ", m AS (SELECT file, 1::BIGINT AS frame, value AS e, value AS m FROM frames WHERE frame = 1 UNION ALL SELECT f.file, f.frame, f.value, 0.975 * m.m + 0.025 * f.value FROM m JOIN frames f ON f.file = m.file AND f.frame = m.frame + 1 WHERE f.frame <= 40) SELECT file, frame, round(pow(e / pow(1e-6 + m, 0.8) + 10, 0.25) - pow(10, 0.25), 7) AS pcen FROM m")
-def w27_pcen(spark, sf):
-    f = frames(spark, sf).where("frame <= 40").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("p"))
-    v = framing.pcen(F.transform("p", lambda x: x["value"]), 0.025)
-    return f.select("file", F.posexplode(v).alias("k", "v")).select("file", (F.col("k") + 1).cast("long").alias("frame"), F.round("v", 7).alias("pcen"))
-
-
-@query()
-def w26_recursive_mean_whole(spark, sf):
     s = series(spark, sf).select("file", F.posexplode(framing.recursive_mean(F.col("values"), 0.1)).alias("k", "m"))
     return s.select("file", (F.col("k") + 1).cast("long").alias("frame"), r9("m").alias("m"))
 
 
-@query()
-def w27_pcen_whole(spark, sf):
+@query("WITH RECURSIVE " + FRAMES + ", m AS (SELECT file, 1::BIGINT AS frame, value AS e, value AS m FROM frames WHERE frame = 1 UNION ALL SELECT f.file, f.frame, f.value, 0.975 * m.m + 0.025 * f.value FROM m JOIN frames f ON f.file = m.file AND f.frame = m.frame + 1) SELECT file, frame, round(pow(e / pow(1e-6 + m, 0.98) + 2, 0.5) - pow(2, 0.5), 7) AS pcen FROM m")
+def w27_pcen(spark, sf):
     f = frames(spark, sf).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("p"))
     v = framing.pcen(F.transform("p", lambda x: x["value"]), 0.025)
     return f.select("file", F.posexplode(v).alias("k", "v")).select("file", (F.col("k") + 1).cast("long").alias("frame"), F.round("v", 7).alias("pcen"))
@@ -206,20 +191,6 @@ def a17_extreme_score(spark, sf):
     return metrics.extreme_score(frames(spark, sf), "value", ["file"]).select("file", r9("score").alias("score"), "extreme")
 
 
-@query()
-def w14_flatten_whole(spark, sf):
-    found = intervals.detect(frames(spark, sf).select("file", "frame", "prob"), 0.5, 0.2, 2, 1)
-    ev = found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("events"))
-    x = intervals.flatten_detections(series(spark, sf).withColumnRenamed("values", "probabilities").join(ev, "file"))
-    return x.select("file", "first", "last", r9(F.aggregate("probabilities", F.lit(0.0), lambda s, v: s + v)).alias("total"))
-
-
-@query()
-def w18_stitch_whole(spark, sf):
-    s = series(spark, sf).withColumn("bins", F.size("values").cast("long"))
-    return framing.stitch(framing.framed(s, 10, 5, keep_rest=True).withColumnRenamed("start", "start_bin")).select("file", "bin", r9("value").alias("value"))
-
-
 @query(FRAMES + ", n AS (SELECT *, count(*) OVER (PARTITION BY file) AS n, min(ts) OVER (PARTITION BY file) AS t0 FROM frames) SELECT file, frame, epoch_us(t0) + round((frame - 1) * (n / 250.0 / greatest(n - 1, 1)) * 1e6)::BIGINT AS at_us FROM n")
 def w29_timeline(spark, sf):
     w = Window.partitionBy("file")
@@ -292,7 +263,7 @@ def j1_match_events(spark, sf):
     return matches(spark, sf)
 
 
-@query("WITH n AS (SELECT t.event_id AS t_id, d.event_id AS d_id, abs(epoch_us(t.ts) - epoch_us(d.ts)) AS gap FROM events t JOIN events d ON t.user_id = d.user_id WHERE t.event_type = 'view' AND d.event_type = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY gap, d_id) AS k FROM n WHERE gap <= 3600000000) SELECT t_id, d_id, gap AS gap_us FROM r WHERE k = 1")
+@query("WITH n AS (SELECT t.event_id AS t_id, t.ts AS t_ts, d.event_id AS d_id, d.ts AS d_ts, abs(epoch_us(t.ts) - epoch_us(d.ts)) AS gap FROM events t JOIN events d ON t.user_id = d.user_id WHERE t.event_type = 'view' AND d.event_type = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY gap, d_ts, d_id) AS k FROM n), u AS (SELECT *, row_number() OVER (PARTITION BY d_id ORDER BY t_ts, t_id) AS turn FROM r WHERE k = 1 AND gap <= 3600000000) SELECT t_id, d_id, gap AS gap_us FROM u WHERE turn = 1")
 def j2_greedy_match(spark, sf):
     return matching.greedy_match(detections(spark, sf), truth(spark, sf), 3_600_000_000, "user_id")
 
@@ -417,7 +388,7 @@ def a9_auc(spark, sf):
     return metrics.auc(scored(spark, sf), "score", "hit", ["event_type"]).select("event_type", F.round("auc", 8).alias("auc"))
 
 
-@query("WITH " + _SCORED + " SELECT event_type, score, round(tp / 5000.0, 9) AS tpr, round(fp / 86400.0, 9) AS alarms_per_s FROM c")
+@query("WITH " + _SCORED + ", s AS (SELECT *, max(score) OVER w AS most, min(score) OVER w AS least, CASE WHEN score = 0 THEN 5e-324 ELSE pow(2.0, floor(log2(abs(CASE WHEN score = 0 THEN 1 ELSE score END))) - 52) END AS eps FROM c WINDOW w AS (PARTITION BY event_type)), a AS (SELECT event_type, score, tp, fp FROM s UNION ALL SELECT event_type, score + eps, 0, 0 FROM s WHERE score = most UNION ALL SELECT event_type, score - eps, tp, fp FROM s WHERE score = least) SELECT event_type, score, round(tp / 5000.0, 9) AS tpr, round(fp / 86400.0, 9) AS alarms_per_s FROM a")
 def a10_alarm_curve(spark, sf):
     x = metrics.alarm_curve(scored(spark, sf), "score", "hit", 5000, 86400.0, ["event_type"])
     return x.select("event_type", "score", r9("tpr").alias("tpr"), r9("alarms_per_s").alias("alarms_per_s"))
@@ -464,10 +435,15 @@ def a16_adjudicated(spark, sf):
     return x.select("logic", "fp_to_tp", "fn_to_tn", "truth", "tp", r9("recall").alias("recall"), r9("precision").alias("precision"))
 
 
-@query(FRAMES + ", k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY frame) AS k, count(*) OVER (PARTITION BY file) AS n, prob - lag(prob) OVER (PARTITION BY file ORDER BY frame) AS d FROM frames), t AS (SELECT *, (sign(d) * sign(lag(d) OVER (PARTITION BY file ORDER BY frame)) < 0)::INT AS turn FROM k) SELECT file, round(100 * (arg_min(prob, k) - arg_max(prob, k)) / arg_min(prob, k), 7) AS reduction_pct, round(avg(prob) FILTER (k > n - 10), 9) AS recent_mean, round(stddev_samp(prob) FILTER (k > n - 10), 9) AS recent_std, round(sum(turn) / greatest(max(n) - 2, 1), 9) AS turn_ratio, round(regr_slope(CASE WHEN 2 * k > n THEN prob END, CASE WHEN 2 * k > n THEN k::DOUBLE END), 8) AS late_slope FROM t GROUP BY file")
+@query(FRAMES + """, k AS (SELECT file, prob, frame AS k, count(*) OVER (PARTITION BY file) AS n, prob - lag(prob) OVER (PARTITION BY file ORDER BY frame) AS d FROM frames),
+t AS (SELECT *, CASE WHEN lag(d) OVER (PARTITION BY file ORDER BY k) IS NOT NULL AND sign(d) <> sign(lag(d) OVER (PARTITION BY file ORDER BY k)) THEN 1 ELSE 0 END AS turn FROM k),
+g AS (SELECT file, max(n) AS n, arg_min(prob, k) AS first, arg_max(prob, k) AS final, avg(prob) FILTER (k > n - 10) AS m, coalesce(stddev_samp(prob) FILTER (k > n - 10), 0) AS sd, sum(turn) AS turns, stddev_samp(d) AS dsd, avg(abs(d)) AS dm,
+  regr_slope(CASE WHEN k >= ceil(n / 2.0) THEN prob END, CASE WHEN k >= ceil(n / 2.0) THEN k::DOUBLE END) AS slope FROM t GROUP BY file)
+SELECT file, round(CASE WHEN first <> 0 THEN 100 * (first - final) / first ELSE 0 END, 7) AS reduction_pct, round(m, 9) AS recent_mean, round(sd, 9) AS recent_std, CASE WHEN m > 0 THEN sd / m ELSE 0 END < 0.01 AS converged,
+  round(CASE WHEN n > 5 THEN turns / (n - 1) ELSE 0 END, 9) AS turn_ratio, n > 5 AND turns / (n - 1) > 0.5 AS oscillating, n > 5 AND final > first AS increasing, round(CASE WHEN n > 5 THEN dsd / dm ELSE 0 END, 7) AS stability, round(slope, 8) AS late_slope FROM g""")
 def a22_a24_loss(spark, sf):
     x = metrics.loss_analysis(frames(spark, sf), "prob", "frame", ["file"])
-    return x.select("file", F.round("reduction_pct", 7).alias("reduction_pct"), *[r9(c).alias(c) for c in ("recent_mean", "recent_std", "turn_ratio")], F.round("late_slope", 8).alias("late_slope"))
+    return x.select("file", *[F.round(c, d).alias(c) for c, d in (("reduction_pct", 7), ("recent_mean", 9), ("recent_std", 9), ("turn_ratio", 9), ("stability", 7), ("late_slope", 8))], "converged", "oscillating", "increasing")
 
 
 @query(FRAMES + ", d AS (SELECT file, event_type <> lag(event_type) OVER w AS c, prob > lag(prob) OVER w AS b FROM frames WINDOW w AS (PARTITION BY file ORDER BY frame)) SELECT file, sum(c::INT)::BIGINT AS changes, round(avg(b::INT), 9) AS bad_ratio FROM d GROUP BY file")
@@ -475,9 +451,12 @@ def a25_rate_changes(spark, sf):
     return metrics.rate_changes(frames(spark, sf), "event_type", "prob", "frame", ["file"]).select("file", "changes", r9("bad_ratio").alias("bad_ratio"))
 
 
-@query(FRAMES + ", m AS (SELECT file, frame, avg(prob) OVER (PARTITION BY file ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM frames), r AS (SELECT *, abs(m - lag(m) OVER w) / abs(lag(m) OVER w) AS r FROM m WINDOW w AS (PARTITION BY file ORDER BY frame)) SELECT file, min(frame) FILTER (r < 0.01) AS plateau FROM r GROUP BY file")
+@query(FRAMES + """, n AS (SELECT file, frame, prob, count(*) OVER (PARTITION BY file) AS n FROM frames), h AS (SELECT *, least(5, ceil(n / 10.0))::INT AS width FROM n),
+m AS (SELECT a.file, a.frame, a.prob, a.n, (SELECT avg(b.prob) FROM frames b WHERE b.file = a.file AND b.frame BETWEEN a.frame - a.width // 2 AND a.frame + (a.width - 1) // 2) AS m FROM h a),
+r AS (SELECT *, (m - lead(m) OVER (PARTITION BY file ORDER BY frame)) / m AS r FROM m), p AS (SELECT file, max(n) AS n, min(frame) FILTER (n > 10 AND r < 0.001) AS k FROM r GROUP BY file)
+SELECT p.file, coalesce(k, p.n)::BIGINT AS plateau, round(CASE WHEN p.n > 10 THEN 100.0 * coalesce(k, p.n) / p.n ELSE 100.0 END, 9) AS plateau_pct, coalesce(p.n - k > 0.3 * p.n AND f.prob > 0.01, false) AS premature FROM p LEFT JOIN frames f ON f.file = p.file AND f.frame = p.k""")
 def a26_convergence(spark, sf):
-    return metrics.convergence(frames(spark, sf), "prob", "frame", ["file"]).select("file", F.col("plateau").cast("long").alias("plateau"))
+    return metrics.convergence(frames(spark, sf), "prob", "frame", ["file"]).select("file", "plateau", r9("plateau_pct").alias("plateau_pct"), "premature")
 
 
 @query(FRAMES + " SELECT file, round(count_if(prob > 0.5)::BIGINT * 0.85, 9) AS seconds_active, bool_or(isnan(prob)) AS any_nan, bool_and(isnan(prob)) AS all_nan FROM frames GROUP BY file")
@@ -523,9 +502,11 @@ def t9_bins(spark, sf):
     return sampling.equal_width_bins(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 5, "bin").select("o_orderkey", "bin")
 
 
-@query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 8 < 7 THEN epoch_us(date_trunc('second', ts)) END AS us FROM events")
 def x1_time_from_name(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("/a/H08S1_"), F.date_format("ts", "yyMMdd-HHmmss"), F.lit(".wav")).alias("path"))
+    styles = (("x", "yyyyMMdd_HHmmss"), ("", "yyyyMMdd-HHmmss"), ("H08S1_", "yyMMdd-HHmmss"), ("", "yyyy-MM-dd_HH-mm-ss"), ("", "yyyy-MM-dd-HH:mm:ss"), ("", "yyyyMMdd_HH:mm:ss"), ("12_", "yyyy-MM-dd_HH-mm-ss"), ("noise", "yyyy"))
+    name = F.element_at(F.array(*[F.concat(F.lit(a), F.date_format("ts", f)) for a, f in styles]), (F.col("event_id") % 8 + 1).cast("int"))
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("/a/"), name, F.lit(".wav")).alias("path"))
     return e.select("event_id", micros(S.time_from_name(S.file_stem(F.col("path")))).alias("us"))
 
 
@@ -589,6 +570,8 @@ def x26_context(spark, sf):
     return merged(spark, sf).join(n, "file").select("file", "first", "last", a.alias("context_start"), b.alias("context_end"))
 
 
+from . import more  # noqa: E402, F401
+
 # MASK, REGIONS and the like start a WITH list; statements that begin with one get the keyword here
 for _name, _sql in ORACLE.items():
     if _sql.startswith("frames AS"):

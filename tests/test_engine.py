@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echolot.functions import dsp
 from echolot.functions import scalars as S
@@ -143,16 +144,16 @@ def test_recursive_mean_and_pcen_over_whole_files(spark):
         for k, v in enumerate(values, 1):
             p = v / (v + 50.0)
             m, e = (p, v) if m is None else (0.9 * m + 0.1 * p, 0.975 * e + 0.025 * v)
-            mean[file, k], pcen[file, k] = m, (v / (1e-6 + e) ** 0.8 + 10) ** 0.25 - 10**0.25
-    got = {(r["file"], r["frame"]): r["m"] for r in plans.QUERIES["w26_recursive_mean_whole"](spark, SF).collect()}
+            mean[file, k], pcen[file, k] = m, (v / (1e-6 + e) ** 0.98 + 2) ** 0.5 - 2**0.5
+    got = {(r["file"], r["frame"]): r["m"] for r in plans.QUERIES["w26_recursive_mean"](spark, SF).collect()}
     assert got.keys() == mean.keys() and all(abs(got[k] - mean[k]) < 2e-9 for k in got)
-    got = {(r["file"], r["frame"]): r["pcen"] for r in plans.QUERIES["w27_pcen_whole"](spark, SF).collect()}
+    got = {(r["file"], r["frame"]): r["pcen"] for r in plans.QUERIES["w27_pcen"](spark, SF).collect()}
     assert got.keys() == pcen.keys() and all(abs(got[k] - pcen[k]) < 2e-7 for k in got)
 
 
 def test_stitch_covers_whole_files(spark):
     want = {(file, k): v / (v + 50.0) for file, values in whole_files().items() for k, v in enumerate(values, 1)}
-    got = {(r["file"], r["bin"]): r["value"] for r in plans.QUERIES["w18_stitch_whole"](spark, SF).collect()}
+    got = {(r["file"], r["bin"]): r["value"] for r in plans.QUERIES["w18_stitch"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in got)
 
 
@@ -171,7 +172,7 @@ def test_flatten_takes_all_detections(spark):
             elif x:
                 regions.append([k, k])
         want |= {(file, a, b): sum(p[a - 1 : b]) for a, b in regions if b > a}
-    got = {(r["file"], r["first"], r["last"]): r["total"] for r in plans.QUERIES["w14_flatten_whole"](spark, SF).collect()}
+    got = {(r["file"], r["first"], r["last"]): r["total"] for r in plans.QUERIES["w14_flatten"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in got)
 
 
@@ -281,3 +282,46 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_time_from_name_by_hand(spark):
+    """Each style of name, a failing first catch, and names without a time."""
+    given = ["20240115_123456", "H08S1_151231-200000", "2024-01-15_12-34-56", "2024-01-15-12:34:56", "20240115-12:34:56", "7_2024-01-15_12-34-56", "noise", "x_2024-01-15_12-34-56", "20241399_123456", "a20240115-123456b"]
+    got = [str(r[0]) for r in spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, x string").orderBy("k").select(S.time_from_name(F.col("x"))).collect()]
+    day = "2024-01-15 12:34:56"
+    assert got == [day, "2015-12-31 20:00:00", day, day, day, day, "None", "None", "None", day]
+
+
+def test_silence_by_hand():
+    """Silence at the start and the end, half and twice the least length, constant, zero and all below."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, 20000)  # silence is the lesser part: the median lies outside
+    for a, n in ((0, 1000), (8000, 125), (18500, 1500)):
+        x[a : a + n] *= 1e-9
+    m = dsp.silent_mask(x, 250, 1.0)
+    assert m[:990].all() and not m[1010:18490].any() and m[18510:].all()
+    assert not dsp.silent_mask(np.full(3000, 1e-9), 250, 0.1).any() and dsp.silent_mask(np.zeros(3000), 250, 0.1).all()
+    y = rng.normal(0, 1, 5000)
+    y[1000:2000] = 0
+    y[3000:3010] = 0
+    m = dsp.silent_mask(y, 250, 1.0)
+    assert m[1005:1995].all() and not m[2995:3015].any() and not m[:990].any()
+
+
+def test_confidence_with_nan_and_null(spark):
+    nan = float("nan")
+    f = spark.createDataFrame([("a", k, v) for k, v in enumerate([0.5, nan, 0.25, None, 0.75, 1.0], 1)], "file string, frame long, prob double")
+    r = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 3, 5), ("a", 4, 4), ("a", 5, 6)], "file string, first long, last long")
+    got = {(x["first"], x["last"]): x["confidence"] for x in intervals.confidence(r, f).collect()}
+    assert got[1, 1] == 0.5 and np.isnan(got[1, 2]) and got[3, 5] == 0.5 and got[4, 4] is None and got[5, 6] == 0.875
+
+
+def test_training_health_of_short_logs(spark):
+    log = spark.createDataFrame([(1, float(k), v, v + 0.5) for k, v in enumerate([3.0, 2.0, 1.0])] + [(2, float(k), 1.0 / (k + 1), 0.2 * k) for k in range(30)], "run int, k double, train double, val double")
+    over = {r["run"]: r for r in metrics.overfitting(log, "train", "val", "k", ["run"]).collect()}
+    assert (over[1]["overfitting"], over[1]["severity"], over[1]["final_gap"]) == (False, None, None)
+    assert (over[2]["overfitting"], over[2]["severity"]) == (True, "Severe")
+    plateau = {r["run"]: (r["plateau"], r["premature"]) for r in metrics.convergence(log, "train", "k", ["run"]).collect()}
+    assert plateau[1] == (3, False) and plateau[2][0] == 30
+    loss = {r["run"]: r for r in metrics.loss_analysis(log, "train", "k", ["run"]).collect()}
+    assert loss[1]["turn_ratio"] == 0 and loss[1]["converged"] is False and abs(loss[1]["reduction_pct"] - 200 / 3) < 1e-9
