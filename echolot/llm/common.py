@@ -79,6 +79,11 @@ def root_paths(df: DataFrame) -> list[str]:
     return [x for r in relations if r.getClass().getSimpleName() == "HadoopFsRelation" for x in r.location().rootPaths().mkString("\n").split("\n")]
 
 
+def lowered(text: str) -> str:
+    """text with A-Z in lower case; bytes know no other letters."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def with_rows(make):
     """make, a function from batches to frames, without its frames that hold no rows: Arrow can't type their columns."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,15 +33,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WS, drop_paths, hide_null, materialize, mix64, ship, show_null, with_rows
+from .common import WS, drop_paths, hide_null, materialize, mix64, ship, show_null, with_rows
 
 
-def line_key(line: str) -> str:
-    return line.strip(WS).translate(ASCII_LOWER)
+_WS = WS.encode()
 
 
-def _keys(text: str | None, min_chars: int) -> set[str]:
-    return {k for line in (text or "").split("\n") if len(line) >= min_chars and len(k := line_key(line)) >= min_chars}
+def line_key(line: bytes) -> bytes:
+    """The key in UTF-8, where only A-Z have a lower case."""
+    return line.strip(_WS).lower()
+
+
+def _keys(text: str | None, min_chars: int) -> set[bytes]:
+    keys = {k for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if len(line) >= min_chars and len(k := line_key(line)) >= min_chars}
+    return {k for k in keys if k.isascii() or len(k) >= 4 * min_chars or len(k.decode("utf-8", "surrogatepass")) >= min_chars}
 
 
 class Filter:
@@ -67,8 +72,8 @@ class Filter:
         return ((self.bits[a] & x) != 0) & ((self.bits[b] & y) != 0)
 
 
-def _hashes(keys: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
 def _shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +166,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_pe
                     hit[mine] = f.has(h[mine])
                 hits, place, out = hit.tolist(), 0, []
                 for x in own:
-                    out.append([k for k, yes in zip(x, hits[place : place + len(x)], strict=True) if yes])
+                    out.append([k.decode("utf-8", "surrogatepass") for k, yes in zip(x, hits[place : place + len(x)], strict=True) if yes])
                     place += len(x)
                 yield pd.Series(out, dtype=object)
 
@@ -179,9 +184,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_pe
         for text, drop in zip(texts, drops, strict=True):
             n = 0
             if drop is not None:
-                drop, lines = set(drop), text.split("\n")
+                drop, lines = {x.encode("utf-8", "surrogatepass") for x in drop}, text.encode("utf-8", "surrogatepass").split(b"\n")
                 kept = [x for x in lines if len(x) < min_chars or line_key(x) not in drop]
-                text, n = "\n".join(kept), len(lines) - len(kept)
+                text, n = b"\n".join(kept).decode("utf-8", "surrogatepass"), len(lines) - len(kept)
             out.append(text)
             gone.append(n)
         return pd.DataFrame({"kept_text": pd.Series(out, dtype=object), "n_dropped": pd.Series(gone, dtype="int64")})
