@@ -52,7 +52,7 @@ class Encoder:
     anew, a capital sigma, unusual white space) goes through the tokenizer whole.
     """
 
-    def __init__(self, name: str, remembered: int = 150_000):
+    def __init__(self, name: str, remembered: int = 250_000):
         import json
 
         import public_tokenizers
@@ -68,10 +68,12 @@ class Encoder:
         if steps != ["NFC", "Replace", "Lowercase"] or cut["type"] != "Split" or not cut["invert"] or marks["type"] != "ByteLevel" or marks["add_prefix_space"] or marks["use_regex"]:
             raise ValueError(f"{name} is not a tokenizer of the kind that this encoder reads")
         self.pattern, self.marks = regex.compile(cut["pattern"]["Regex"]), byte_marks()
+        every = [*self.marks.values()]
+        del self.marks[ord(" ")]  # stands between words
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary, end = self.tokenizer.get_vocab(with_added_tokens=False), made["model"]["end_of_word_suffix"]
-        if any(x not in vocabulary for c in self.marks.values() for x in (c, c + end)):
+        if any(x not in vocabulary for c in every for x in (c, c + end)):
             raise ValueError(f"{name} does not know all bytes")
         #: whether an id ends a word
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -117,8 +119,10 @@ class Encoder:
             elif w not in young:
                 new.append(w)
         if new:
-            shown = [w if w.isascii() and w.isprintable() else "".join(map(self.marks.__getitem__, w.encode("utf-8"))) for w in new]
-            ids = np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+            shown = " ".join(new)
+            if not shown.isascii() or not shown.isprintable():
+                shown = shown.encode("utf-8").decode("latin-1").translate(self.marks)
+            ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             data, at = ids.tobytes(), 0
             for w, end in zip(new, ends, strict=True):
