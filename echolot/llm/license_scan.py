@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, hide_null, ship, show_null, with_rows
+from .common import hide_null, lowered, ship, show_null, with_rows
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Words and the label of each base phrase; fixed values.
@@ -45,7 +45,7 @@ TEMPLATES = (
 
 
 def tokens(text: str) -> list[str]:
-    return WORD.findall(text.translate(ASCII_LOWER))
+    return WORD.findall(lowered(text))
 
 
 def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFr
     t = Templates(token_counts(docs, templates), threshold, templates)
 
     def one(doc: str | None):
-        low = (doc or "").translate(ASCII_LOWER)
+        low = lowered(doc or "")
         words = WORD.findall(low)
         places = phrase_places(words) if "license" in low else []
         base = {label for _, label in places}

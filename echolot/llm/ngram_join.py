@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, NONE, Forest, components, contracted, drop_paths, hide_null, materialize, mix64, ship, show_null, with_rows
+from .common import NONE, Forest, components, contracted, drop_paths, hide_null, lowered, materialize, mix64, ship, show_null, with_rows
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 DIMS = 64
@@ -60,7 +60,7 @@ FAN = 4
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's shingles."""
-    words = _WORDS.findall((text or "").translate(ASCII_LOWER))
+    words = _WORDS.findall(lowered(text or ""))
     if not words:
         return np.zeros(0, np.uint64)
     known: dict[str, int] = {}
