@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,36 +84,27 @@ def alarm_curve(df: DataFrame, score: str, label: str, n_truth: int | Column, se
     return c.select(*by, F.explode(points).alias("_x")).select(*by, F.col("_x.s").alias(score), (F.col("_x.tp") / n_truth).alias("tpr"), (F.col("_x.fp") / seconds).alias("alarms_per_s"))
 
 
-def best_temperature(df: DataFrame, score: str, label: str, lo: float = 0.01, hi: float = 10.0, steps: int = 60) -> float | None:
-    """The temperature of least negative log-likelihood, by golden section over grouped scores; null if one class lacks.
+def best_temperature(df: DataFrame, score: str, label: str, lo: float = 0.01, hi: float = 10.0, points: int = 129, exact: float = 1e-6) -> float | None:
+    """The temperature of least negative log-likelihood; null if one class lacks.
 
-    Each step is one aggregate over the distinct (score, label) rows, which are counted once and kept.
+    The likelihood has one optimum, so it lies between the neighbours of the best of some points; these become the next
+    bounds. A round is one aggregate over the distinct (score, label) rows, which are counted once and kept.
     """
     q = F.least(F.greatest(F.col(score), F.lit(1e-7)), F.lit(1 - 1e-7))
     g = df.groupBy(F.round(F.ln(q / (1 - q)), 9).alias("z"), F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).cache()
-    if g.select("y").distinct().count() < 2:
-        return None
-
-    def loss(t: float) -> float:
-        p = 1 / (1 + F.exp(-F.col("z") / t))
-        return g.agg(-F.sum(F.col("n") * F.when(F.col("y") == 1, F.ln(p + 1e-300)).otherwise(F.ln(1 - p + 1e-300)))).first()[0]
-
-    r = (math.sqrt(5) - 1) / 2
-    a, b = hi - r * (hi - lo), lo + r * (hi - lo)
-    fa, fb = loss(a), loss(b)
-    for _ in range(steps):
-        if hi - lo < 1e-6:
-            break
-        if fa <= fb:
-            hi, b, fb = b, a, fa
-            a = hi - r * (hi - lo)
-            fa = loss(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + r * (hi - lo)
-            fb = loss(b)
-    g.unpersist()
-    return (lo + hi) / 2
+    try:
+        if g.select("y").distinct().count() < 2:
+            return None
+        p = 1 / (1 + F.exp(-F.col("z") / F.col("t")))
+        loss = -F.sum(F.col("n") * F.ln(F.when(F.col("y") == 1, p).otherwise(1 - p) + 1e-300))
+        while hi - lo > exact:
+            step = (hi - lo) / (points - 1)
+            tried = g.withColumn("t", F.explode(F.array(*[F.lit(lo + k * step) for k in range(points)])))
+            best = tried.groupBy("t").agg(loss.alias("loss")).agg(F.min_by("t", F.struct("loss", "t"))).first()[0]
+            lo, hi = max(lo, best - step), min(hi, best + step)
+        return (lo + hi) / 2
+    finally:
+        g.unpersist()
 
 
 def confusion(counts: DataFrame) -> DataFrame:

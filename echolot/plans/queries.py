@@ -186,7 +186,17 @@ def w27_pcen(spark, sf):
     return f.select("file", F.posexplode(v).alias("k", "v")).select("file", (F.col("k") + 1).cast("long").alias("frame"), F.round("v", 7).alias("pcen"))
 
 
-@query()
+def _mid(level: float) -> str:
+    """The percentile of a sorted list v at the midpoints of its values."""
+    r = f"least(greatest({level} * len(v) / 100.0 + 0.5, 1), len(v))"
+    return f"(v[floor({r})::INT] + ({r} - floor({r})) * (coalesce(v[floor({r})::INT + 1], v[floor({r})::INT]) - v[floor({r})::INT]))"
+
+
+@query(FRAMES + f""", x AS (SELECT file, 20 * log10(value + pow(2, -52)) AS db FROM frames), m AS (SELECT file, avg(db) AS mean, median(db) AS median, coalesce(var_samp(db), 0) AS variance, max(db) - min(db) AS range, list_sort(list(db)) AS v FROM x GROUP BY file),
+c AS (SELECT x.file, avg(pow(db - mean, 2)) AS m2, avg(pow(db - mean, 3)) AS m3, avg(pow(db - mean, 4)) AS m4 FROM x JOIN m ON x.file = m.file GROUP BY x.file),
+s AS (SELECT m.file, mean, median, variance, range, CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END AS skew, CASE WHEN m2 > 0 THEN m4 / (m2 * m2) ELSE 0 END AS kurt, ({_mid(99.9)} - {_mid(0.1)}) / nullif({_mid(75)} - {_mid(25)}, 0) AS spread FROM m JOIN c ON m.file = c.file),
+t AS (SELECT file, 0.35 * least(variance / 15, 5) + 0.25 * greatest((sqrt(variance) - 3) / 2, 0) + 0.15 * greatest((range - 25) / 15, 0) + 0.1 * greatest((skew - 1) / 3, 0) + 0.1 * greatest((kurt - 4) / 5, 0) + 0.03 * greatest(coalesce((spread - 4) / 3, 0), 0) + 0.02 * abs(mean - median) / 2 AS score FROM s)
+SELECT file, round(score, 9) AS score, score > 0.75 AS extreme FROM t""")
 def a17_extreme_score(spark, sf):
     return metrics.extreme_score(frames(spark, sf), "value", ["file"]).select("file", r9("score").alias("score"), "extreme")
 
@@ -526,10 +536,15 @@ def x6_temperature_scaling(spark, sf):
     return frames(spark, sf).select("event_id", r9(S.scaled_probability(F.col("prob"), 2.0)).alias("scaled"), F.round(S.logit(F.col("prob")), 8).alias("logit"))
 
 
-@query()
+@query("WITH RECURSIVE " + FRAMES + """, q AS (SELECT least(greatest(prob, 1e-7), 1 - 1e-7) AS q, event_id % 10 < prob * 10 AS hit FROM frames), z AS (SELECT round(ln(q / (1 - q)), 9) AS z, hit, count(*) AS n FROM q GROUP BY ALL),
+g(k, lo, hi) AS (SELECT 0, 0.01::DOUBLE, 10::DOUBLE UNION ALL
+  SELECT k + 1, CASE WHEN left_loss < right_loss THEN lo ELSE a END, CASE WHEN left_loss < right_loss THEN b ELSE hi END FROM (SELECT k, lo, hi, a, b,
+    -sum(n * ln(CASE WHEN hit THEN 1 / (1 + exp(-z / a)) ELSE 1 - 1 / (1 + exp(-z / a)) END + 1e-300)) AS left_loss, -sum(n * ln(CASE WHEN hit THEN 1 / (1 + exp(-z / b)) ELSE 1 - 1 / (1 + exp(-z / b)) END + 1e-300)) AS right_loss
+    FROM (SELECT *, hi - (sqrt(5) - 1) / 2 * (hi - lo) AS a, lo + (sqrt(5) - 1) / 2 * (hi - lo) AS b FROM g WHERE k < 60), z GROUP BY k, lo, hi, a, b))
+SELECT round((lo + hi) / 2, 3) AS temperature FROM g WHERE k = 60""")
 def x7_best_temperature(spark, sf):
-    t = metrics.best_temperature(frames(spark, sf).select("prob", (F.col("event_id") % 3 == 0).alias("hit")), "prob", "hit")
-    return spark.createDataFrame([(None if t is None else round(t, 4),)], "temperature double")
+    t = metrics.best_temperature(frames(spark, sf).select("prob", (F.col("event_id") % 10 < F.col("prob") * 10).alias("hit")), "prob", "hit")
+    return spark.createDataFrame([(None if t is None else round(t, 3),)], "temperature double")
 
 
 @query("SELECT event_id, round(20 * log10(abs(value) + pow(2, -52)), 8) AS amplitude_db, round(10 * log10(greatest(value, 1e-10)), 8) AS power_db, round(value / max(value) OVER (PARTITION BY user_id), 9) AS peak FROM events")
@@ -570,7 +585,7 @@ def x26_context(spark, sf):
     return merged(spark, sf).join(n, "file").select("file", "first", "last", a.alias("context_start"), b.alias("context_end"))
 
 
-from . import more  # noqa: E402, F401
+from . import more, sound  # noqa: E402, F401
 
 # MASK, REGIONS and the like start a WITH list; statements that begin with one get the keyword here
 for _name, _sql in ORACLE.items():

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import struct
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -69,6 +71,61 @@ def read(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(decode, "path string, fs int, n long, samples array<float>, fail_comment string")
 
 
+def headers(files: DataFrame) -> DataFrame:
+    """S3: path, fs, channels, width, n and bytes, from the first 4 KB; all null where no PCM header is among them."""
+    def scan_them(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                h = [header(bytes(x)) or (None,) * 4 for x in pdf["head"]]
+                yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["bytes"]} | {c: pd.array([x[i] for x in h], "Int64") for i, c in enumerate(("fs", "channels", "width", "n"))})
+
+    few = files.select("path", F.substring("content", 1, 4096).alias("head"), F.octet_length("content").cast("long").alias("bytes"))
+    return few.mapInPandas(scan_them, "path string, bytes long, fs int, channels int, width int, n long")
+
+
+def with_wav(rows: DataFrame, samples: str, fs: int, to: str = "content") -> DataFrame:
+    """Adds each row's samples as the bytes of a WAV file; null samples give null."""
+    def encode(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else to_wav(v, fs))
+
+    encode.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return rows.withColumn(to, F.pandas_udf(encode, "binary")(samples))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's content under its name into a folder that all executors mount: name, error (null if written).
+
+    A file that can't be written keeps its row and does not stop the others. A file appears whole under its name or not
+    at all, so tasks may run again.
+    """
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+                try:
+                    with open(part, "wb") as f:
+                        f.write(content)
+                    os.replace(part, os.path.join(folder, name))
+                    out.append((name, None))
+                except (OSError, TypeError) as e:
+                    out.append((name, str(e)))
+            if out:
+                yield pd.DataFrame(out, columns=["name", "error"], dtype=object)
+
+    return files.select("name", "content").mapInPandas(put, "name string, error string")
+
+
+def only_match(spark: SparkSession, pattern: str) -> str:
+    """The one path that a pattern meets; anything but one is an error."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} paths meet {pattern}, not one")
+    return found[0].getPath().toString()
+
+
 def read_range(recordings: DataFrame, first: Column | int, n: Column | int) -> DataFrame:
     """Samples first..first + n - 1."""
     return recordings.withColumn("samples", F.slice("samples", first, n))
