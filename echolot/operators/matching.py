@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import ship
 from ..functions.scalars import micros
 
 
@@ -43,18 +44,40 @@ def align(a: np.ndarray, b: np.ndarray, tol: int) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def match_events(detections: DataFrame, truth: DataFrame, tol_us: int, by: list[str] | None = None, d_id: str = "d_id", t_id: str = "t_id", d_time: str = "d_time", t_time: str = "t_time") -> DataFrame:
+def _slice(t, slice_us: int):
+    return F.floor(t / slice_us)
+
+
+def _before(by: list[str]):
+    return Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def match_events(detections: DataFrame, truth: DataFrame, tol_us: int, by: list[str] | None = None, d_id: str = "d_id", t_id: str = "t_id", d_time: str = "d_time", t_time: str = "t_time", slice_us: int | None = None) -> DataFrame:
     """Rows (by, d_id, t_id, gap_us) of the optimal matching.
 
     All points are sorted within by; a gap over tol separates components, and each component is aligned by itself.
-    Components, not keys, are the unit of work, so a hot key spreads over tasks.
+    Components, not keys, are the unit of work of the alignment. The sort before it takes a key's points in one task,
+    or, with slice_us, a slice of time of that length; each slice is then told the last point and the last start of a
+    component before it, from one row a slice. Give slice_us where by is empty or a key is hot. Rows of a null key or
+    time match nothing.
     """
+    ship(detections.sparkSession)
     by = by or []
     pts = detections.select(*by, micros(d_time).alias("t"), F.col(d_id).alias("id"), F.lit(0).alias("side")).union(
         truth.select(*by, micros(t_time).alias("t"), F.col(t_id).alias("id"), F.lit(1).alias("side"))).where("t is not null")
-    w = Window.partitionBy(*by).orderBy("t", "side", "id")
-    pts = pts.withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(w) > tol_us).cast("long"), F.lit(1))).withColumn(
-        "component", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    part = by
+    if slice_us:
+        part = [*by, "_slice"]
+        pts = pts.withColumn("_slice", _slice(F.col("t"), slice_us))
+        heads = pts.groupBy(*part).agg(F.max("t").alias("_last")).select(*part, F.last("_last").over(_before(by)).alias("t"), F.lit(-1).alias("side"))
+        pts = pts.unionByName(heads.where("t is not null"), allowMissingColumns=True)
+    w = Window.partitionBy(*part).orderBy("t", "side", "id")
+    pts = pts.withColumn("_start", F.when(F.coalesce(F.col("t") - F.lag("t").over(w) > tol_us, F.col("side") >= 0), F.col("t"))).withColumn(
+        "component", F.last("_start", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if slice_us:
+        starts = pts.groupBy(*part).agg(F.max("_start").alias("_started")).select(*part, F.last("_started", True).over(_before(by)).alias("_carried"))
+        pts = pts.where("side >= 0").join(starts, part).withColumn("component", F.coalesce("component", "_carried"))
+    pts = pts.select(*by, "t", "id", "side", "component")
     keys = [*by, "component"]
     two = pts.groupBy(*keys).agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select(*keys)
     pts = pts.join(two, keys, "left_semi")
@@ -87,20 +110,32 @@ def greedy_match(detections: DataFrame, truth: DataFrame, tol_us: int, by: str)
     return near.groupBy(by, F.col("m.d_id").alias("d_id")).agg(F.min(F.struct("t_time", "t_id", "m.gap_us")).alias("f")).select("f.t_id", "d_id", "f.gap_us")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_value: str, to: str = "found") -> DataFrame:
-    """Adds the right value with the latest time not after the left time; null if there is none. One sort, no range join."""
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_value: str, to: str = "found", slice_us: int | None = None) -> DataFrame:
+    """Adds the right value with the latest time not after the left time; null if there is none. One sort, no range join.
+
+    The sort takes a key's rows in one task, or, with slice_us, a slice of time of that length, to which one row brings
+    what the slices before it ended with. Give slice_us where by is empty or a key is hot; times must then be timestamps.
+    """
     l = left.withColumns({"_t": F.col(left_time), "_v": F.lit(None).cast(right.schema[right_value].dataType), "_rt": F.lit(None).cast(right.schema[right_time].dataType), "_side": F.lit(1)})
     r = right.select(*by, F.col(right_time).alias("_t"), F.col(right_value).alias("_v"), F.col(right_time).alias("_rt"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True)
-    return both.withColumns({to: F.last("_v", True).over(w), f"{to}_time": F.last("_rt", True).over(w)}).where("_side = 1").drop("_t", "_v", "_rt", "_side")
-
-
-def as_of_within(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_value: str, to: str = "found") -> DataFrame:
-    """As J3, but null where the lag exceeds the mean distance of the right side's times."""
-    w = Window.partitionBy(*by).orderBy(right_time)
-    step = right.withColumn("_d", micros(right_time) - micros(F.lag(right_time).over(w))).groupBy(*by).agg(F.avg("_d").alias("_mean"))
-    x = as_of(left, right, by, left_time, right_time, right_value, to).join(step, by, "left")
+    both, part = l.unionByName(r, allowMissingColumns=True), by
+    if slice_us:
+        part = [*by, "_slice"]
+        both = both.withColumn("_slice", _slice(micros("_t"), slice_us))
+        ends = both.groupBy(*part).agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).getField("_v").alias("_v"), F.max("_rt").alias("_rt"))
+        heads = ends.select(*part, *[F.last(c, True).over(_before(by)).alias(c) for c in ("_v", "_rt")], F.lit(-1).alias("_side"))
+        both = both.unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*part).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({to: F.last("_v", True).over(w), f"{to}_time": F.last("_rt", True).over(w)})
+    return out.where("_side = 1").drop("_t", "_v", "_rt", "_side", "_slice")
+
+
+def as_of_within(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_value: str, to: str = "found", slice_us: int | None = None) -> DataFrame:
+    """As J3, but null where the lag exceeds the mean distance of the right side's times: their range over their number less one."""
+    t = micros(right_time)
+    step = right.groupBy(*by).agg(F.try_divide(F.max(t) - F.min(t), F.count(t) - 1).alias("_mean"))
+    x = as_of(left, right, by, left_time, right_time, right_value, to, slice_us)
+    x = x.join(step, by, "left") if by else x.crossJoin(F.broadcast(step))
     near = micros(left_time) - micros(f"{to}_time") <= F.col("_mean")
     return x.withColumns({to: F.when(near, F.col(to)), f"{to}_time": F.when(near, F.col(f"{to}_time"))}).drop("_mean")
 

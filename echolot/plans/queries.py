@@ -268,7 +268,14 @@ def matches(spark, sf):
     return matching.match_events(detections(spark, sf), truth(spark, sf), 3_600_000_000, ["user_id"])
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'click'),
+v AS (SELECT user_id, list({'id': event_id, 't': epoch_us(ts)} ORDER BY ts, event_id) AS g FROM events WHERE event_type = 'view' GROUP BY user_id),
+best AS (SELECT user_id, 0::BIGINT AS i, g, list_transform(range(len(g) + 1), lambda k: {'value': 0::BIGINT, 'pairs': []::STRUCT(d BIGINT, t BIGINT, gap BIGINT)[]}) AS b FROM v
+UNION ALL SELECT user_id, i, g, list_transform(range(len(x)), lambda k: list_reduce(x[1:k + 1], lambda m, y: CASE WHEN y.value > m.value THEN y ELSE m END)) AS b
+FROM (SELECT r.user_id, d.i, r.g, list_transform(range(len(r.g) + 1), lambda k: CASE WHEN k > 0 AND abs(r.g[k].t - d.t) <= 3600000000 AND r.b[k].value + 7200000000 - abs(r.g[k].t - d.t) > r.b[k + 1].value
+THEN {'value': r.b[k].value + 7200000000 - abs(r.g[k].t - d.t), 'pairs': list_append(r.b[k].pairs, {'d': d.id, 't': r.g[k].id, 'gap': abs(r.g[k].t - d.t)})} ELSE r.b[k + 1] END) AS x FROM best r JOIN d ON d.user_id = r.user_id AND d.i = r.i + 1)),
+ends AS (SELECT user_id, arg_max(b[len(b)].pairs, i) AS pairs FROM best GROUP BY user_id), p AS (SELECT user_id, unnest(pairs) AS p FROM ends)
+SELECT user_id, p.d AS d_id, p.t AS t_id, p.gap AS gap_us FROM p""")
 def j1_match_events(spark, sf):
     return matches(spark, sf)
 
@@ -295,6 +302,13 @@ def j4_as_of_within(spark, sf):
     return matching.as_of_within(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), right, ["user_id"], "ts", "sts", "sid").select("event_id", "found")
 
 
+@query("WITH " + _ASOF + " SELECT p.event_id, max_by(s.sid, (s.sts, s.sid)) AS found FROM p LEFT JOIN s ON p.ts >= s.sts GROUP BY p.event_id")
+def j3_as_of_any_key(spark, sf):
+    e = table(spark, sf, "events")
+    right = e.where("event_type = 'signup'").select(F.col("event_id").alias("sid"), F.col("ts").alias("sts"))
+    return matching.as_of(e.where("event_type = 'purchase'").select("event_id", "ts"), right, [], "ts", "sts", "sid", slice_us=86_400_000_000).select("event_id", "found")
+
+
 @query("WITH f AS (SELECT user_id, event_id AS file, ts AS s, lead(ts) OVER w AS next_s, lead(event_id) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT file, CASE WHEN next_s < s + INTERVAL 2 HOUR THEN nxt ELSE file END AS end_file FROM f")
 def j5_spill(spark, sf):
     e = table(spark, sf, "events")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import ship
+
 
 def scan(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     """Path, modificationTime, length, content; content is read only where it is selected."""
@@ -68,6 +70,7 @@ def read(files: DataFrame) -> DataFrame:
                 rows.append((path, h[0] if h else None, len(x) if x is not None else None, x, None if x is not None else "unreadable"))
             yield pd.DataFrame(rows, columns=["path", "fs", "n", "samples", "fail_comment"]).astype({"fs": "Int64", "n": "Int64"})
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(decode, "path string, fs int, n long, samples array<float>, fail_comment string")
 
 
@@ -80,6 +83,7 @@ def headers(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"path": pdf["path"], "bytes": pdf["bytes"]} | {c: pd.array([x[i] for x in h], "Int64") for i, c in enumerate(("fs", "channels", "width", "n"))})
 
     few = files.select("path", F.substring("content", 1, 4096).alias("head"), F.octet_length("content").cast("long").alias("bytes"))
+    ship(files.sparkSession)
     return few.mapInPandas(scan_them, "path string, bytes long, fs int, channels int, width int, n long")
 
 
@@ -88,6 +92,7 @@ def with_wav(rows: DataFrame, samples: str, fs: int, to: str = "content") -> Dat
     def encode(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else to_wav(v, fs))
 
+    ship(rows.sparkSession)
     encode.__annotations__ = {"x": pd.Series, "return": pd.Series}
     return rows.withColumn(to, F.pandas_udf(encode, "binary")(samples))
 
@@ -113,6 +118,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["name", "error"], dtype=object)
 
+    ship(files.sparkSession)
     return files.select("name", "content").mapInPandas(put, "name string, error string")
 
 

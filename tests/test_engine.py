@@ -1,5 +1,6 @@
 """The engine's operators: every registered query against its SQL, hand cases, properties."""
 
+import datetime as dt
 import math
 import random
 
@@ -325,3 +326,34 @@ def test_training_health_of_short_logs(spark):
     assert plateau[1] == (3, False) and plateau[2][0] == 30
     loss = {r["run"]: r for r in metrics.loss_analysis(log, "train", "k", ["run"]).collect()}
     assert loss[1]["turn_ratio"] == 0 and loss[1]["converged"] is False and abs(loss[1]["reduction_pct"] - 200 / 3) < 1e-9
+
+
+def test_slices_of_time_change_no_match_and_no_as_of(spark):
+    from echolot.operators import matching
+
+    rng = np.random.default_rng(5)
+    def points(n, kind):
+        return spark.createDataFrame([(int(k % 3), k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(s))) for k, s in enumerate(rng.choice(4000, n, False))], f"site long, {kind}_id long, {kind}_time timestamp")
+    d, t = points(300, "d"), points(260, "t")
+    for by in ([], ["site"]):
+        want = sorted(matching.match_events(d, t, 5_000_000, by).collect())
+        assert want
+        for width in (1_000_000, 30_000_000, 10**12):  # slices without points, components over many slices, one slice
+            assert sorted(matching.match_events(d, t, 5_000_000, by, slice_us=width).collect()) == want
+        for f in (matching.as_of, matching.as_of_within):
+            want = sorted(f(t, d, by, "t_time", "d_time", "d_id").select("t_id", "found").collect(), key=repr)
+            assert any(r["found"] is not None for r in want)
+            for width in (1_000_000, 30_000_000, 10**12):
+                assert sorted(f(t, d, by, "t_time", "d_time", "d_id", slice_us=width).select("t_id", "found").collect(), key=repr) == want
+
+
+def test_as_of_in_slices_with_null_times_and_values(spark):
+    from echolot.operators import matching
+
+    at = lambda s: None if s is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    left = spark.createDataFrame([(k, at(s)) for k, s in enumerate((None, 0, 5, 95, 200))], "id long, t timestamp")
+    right = spark.createDataFrame([(at(1), 10), (at(50), None), (at(90), 11), (at(90), 12)], "u timestamp, v long")
+    for width in (None, 10_000_000):
+        got = {r["id"]: r["found"] for r in matching.as_of(left, right, [], "t", "u", "v", slice_us=width).collect()}
+        assert got == {0: None, 1: None, 2: 10, 3: 12, 4: 12}
+    assert matching.as_of(left.limit(0), right.limit(0), [], "t", "u", "v", slice_us=1).collect() == []
