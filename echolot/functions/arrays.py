@@ -57,6 +57,11 @@ def changes(values: Column | str, penalty: float) -> Column:
     return _of("array<int>", lambda x: np.asarray(dsp.mean_changes(x, penalty), np.int32), values)
 
 
+def event_segments(values: Column | str, fs: float, smooth_s: float, overlap_s: float, penalty: float = 10.0, windows_s: tuple[float, float] = (1.0, 60.0)) -> Column:
+    """[first, last] sample, from 1, of each segment."""
+    return _of("array<array<int>>", lambda x: [np.asarray(p, np.int32) for p in dsp.event_segments(x, fs, smooth_s, overlap_s, penalty, windows_s)], values)
+
+
 def mel_spectrum(values: Column | str, fs: float, window: int, hop: int, low: float, high: float, bands: int = 40) -> Column:
     """For each frame the power of the bands."""
     return _of("array<array<double>>", lambda x: list(dsp.mel_spectrum(x, fs, window, hop, low, high, bands)), values)

@@ -120,6 +120,50 @@ def mean_changes(x: np.ndarray, penalty: float) -> list[int]:
     return out[::-1]
 
 
+def moving_mean(x: np.ndarray, n: int) -> np.ndarray:
+    """Over n samples around each, one more before than after if n is even; fewer at the ends."""
+    c, i = np.concatenate([[0.0], np.cumsum(x)]), np.arange(len(x))
+    a, b = np.maximum(i - n // 2, 0), np.minimum(i + (n - 1) // 2 + 1, len(x))
+    return (c[b] - c[a]) / (b - a)
+
+
+def extreme_score(x: np.ndarray) -> float:
+    """A17 of one envelope, as metrics.extreme_score has it."""
+    db = 20 * np.log10(np.asarray(x, float) + 2.0**-52)
+    low, q1, q3, high = np.percentile(db, [0.1, 25, 75, 99.9], method="hazen")
+    var, d = (float(np.var(db, ddof=1)) if len(db) > 1 else 0.0), db - db.mean()
+    m2 = float(np.mean(d**2))
+    skew, kurt = (float(np.mean(d**3)) / m2**1.5, float(np.mean(d**4)) / m2**2) if m2 else (0.0, 0.0)
+    spread = (high - low) / (q3 - q1) if q3 > q1 else np.inf if high > low else 0.0
+    above = lambda v, least, unit: max((v - least) / unit, 0.0)
+    return (0.35 * min(var / 15, 5.0) + 0.25 * above(var**0.5, 3, 2) + 0.15 * above(float(np.ptp(db)), 25, 15) + 0.1 * above(skew, 1, 3)
+            + 0.1 * above(kurt, 4, 5) + 0.03 * above(spread, 4, 3) + 0.02 * abs(float(db.mean() - np.median(db))) / 2)
+
+
+def event_segments(x: np.ndarray, fs: float, smooth_s: float, overlap_s: float, penalty: float = 10.0, windows_s: tuple[float, float] = (1.0, 60.0)) -> list[tuple[int, int]]:
+    """First and last sample, from 1, of the segments between changes of the envelope; one segment where nothing is extreme.
+
+    The envelope of the short window is taken where it is extreme, else that of the long one. All segments but the last
+    reach overlap_s into the next; the last ends one sample before the end. Silence and empty sound are one segment.
+    """
+    x = np.asarray(x, float)
+    y = band_pass(x - x.mean(), fs, 5.0, None) if len(x) else x
+    top = np.abs(y).max(initial=0.0)
+    env = None
+    if top > 0:
+        for w in windows_s:
+            e = np.sqrt(np.maximum(moving_mean((y / top) ** 2, max(round(w * fs), 1)), 0.0))
+            if extreme_score(e) > 0.75:
+                env = e
+                break
+    if env is None:
+        return [(1, len(x))]
+    bounds = np.unique([1, *(k + 1 for k in mean_changes(moving_mean(env, max(round(smooth_s * fs), 1)), penalty)), len(x)]).tolist()
+    extra = round(overlap_s * fs)
+    ends = [min(b - 1 + extra, len(x)) for b in bounds[1:-1]] + [bounds[-1] - 1]
+    return list(zip(bounds[:-1], ends, strict=True))
+
+
 def split_points(prob: np.ndarray, pieces: int) -> list[int]:
     """For each ideal border the nearest unused local minimum; indices from 0."""
     low = np.flatnonzero((prob[1:-1] <= prob[:-2]) & (prob[1:-1] <= prob[2:])) + 1

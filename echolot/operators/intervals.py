@@ -144,3 +144,16 @@ def zero_where(frames: DataFrame, silent: DataFrame, by: str = "file", order: st
 
 def seconds_to_samples(x: Column, fs: Column) -> Column:
     return samples_of(x, fs)
+
+
+def overlap_segments(changes: DataFrame, lengths: DataFrame, by: list[str], place: str, n: str, overlap: int) -> DataFrame:
+    """By, first, last of the segments that places from 1 cut a series of n into; all but the last reach overlap into the next.
+
+    The last ends one before n. A series of one sample has no segment; places beyond 1..n are left out, repeated ones count once.
+    """
+    ends = lengths.select(*by, F.explode(F.array(F.lit(1).cast("long"), F.col(n).cast("long"))).alias("first"), F.col(n).cast("long").alias("_n"))
+    cuts = changes.select(*by, F.col(place).cast("long").alias("first")).join(lengths.select(*by, F.col(n).cast("long").alias("_n")), by).where("first between 1 and _n")
+    w = Window.partitionBy(*by).orderBy("first")
+    x = ends.unionByName(cuts).distinct().withColumn("_next", F.lead("first").over(w)).where("_next is not null")
+    last = F.when(F.col("_next") == F.col("_n"), F.col("_n") - 1).otherwise(F.least(F.col("_next") - 1 + overlap, F.col("_n")))
+    return x.select(*by, "first", last.alias("last"))

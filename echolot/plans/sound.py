@@ -6,10 +6,12 @@ against brute force or known signals.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import synthesis
+from ..operators import intervals, synthesis
 from ..sources import recordings
 from .queries import FRAMES, LISTS, frames, query, r9, series, table
 
@@ -53,6 +55,19 @@ def w22_changes(spark, sf):
     return series(spark, sf).select("file", arrays.changes("values", 0.05).alias("places"))
 
 
+@query()
+def w22_event_segments(spark, sf):
+    arrays.ship(spark)
+    return series(spark, sf).select("file", arrays.event_segments("values", 2, 2, 3, 0.05, (1.0, 8.0)).alias("segments"))
+
+
+@query(FRAMES + """, n AS (SELECT file, count(*) AS n FROM frames GROUP BY file), b AS (SELECT file, frame AS first, n FROM frames JOIN n USING (file) WHERE event_type = 'purchase' OR frame IN (1, n)),
+l AS (SELECT *, lead(first) OVER (PARTITION BY file ORDER BY first) AS nxt FROM b) SELECT file, first, CASE WHEN nxt = n THEN n - 1 ELSE least(nxt + 3, n) END AS last FROM l WHERE nxt IS NOT NULL""")
+def w22_overlap_segments(spark, sf):
+    f = frames(spark, sf)
+    return intervals.overlap_segments(f.where("event_type = 'purchase'"), f.groupBy("file").agg(F.count("*").alias("n")), ["file"], "frame", "n", 4)
+
+
 @query()
 def x11_x12_mel_spectrum(spark, sf):
     arrays.ship(spark)
@@ -144,3 +159,60 @@ def x20_calls_and_copies(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") + 600.0).alias("duration"), (k % 7 + 10.0).alias("call"), (k % 11 + 60.0).alias("apart"), (k % 90 + 1).alias("clean"))
     d = d.withColumn("calls", synthesis.calls_per_sequence(F.col("duration"), F.col("call"), F.col("apart")))
     return d.select("doc_id", "calls", synthesis.copies_per_call(F.col("calls"), F.lit(1200), F.col("clean")).alias("copies"), synthesis.clean_samples_needed(F.lit(1200), F.col("duration"), F.col("apart"), F.lit(5)).alias("needed"))
+
+
+def by_type(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), r9(F.max("value")).alias("most"))
+
+
+_BY_TYPE = "SELECT event_type, count(*) AS n, round(max(value), 9) AS most FROM events GROUP BY event_type"
+
+
+@query("SELECT DISTINCT user_id || '.wav' AS name, 44 + 2 * count(*) OVER (PARTITION BY user_id) AS bytes FROM events")
+def s1_s5_s12_wav_folder(spark, sf):
+    """Every file's series written as a WAV file into a folder that is then listed."""
+    folder = recordings.work_path(spark, "wav").removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder)
+    wav = recordings.with_wav(series(spark, sf).withColumn("name", F.concat(F.col("file").cast("string"), F.lit(".wav"))), "values", 250)
+    errors = recordings.write_files(wav, folder).where("error is not null").limit(1).collect()
+    if errors:
+        raise OSError(errors[0]["error"])
+    return recordings.scan(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+
+
+@query(_BY_TYPE)
+def s6_s7_s8_stage(spark, sf):
+    """A stage made once; the second call reads what the first one wrote."""
+    path = recordings.work_path(spark, "stage")
+    recordings.stage(spark, path, lambda: by_type(spark, sf))
+    return recordings.stage(spark, path, lambda: by_type(spark, sf).limit(0))
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def s9_tab_delimited(spark, sf):
+    path = recordings.work_path(spark, "tab")
+    table(spark, sf, "events").select("event_id", "event_type", "value").write.option("sep", "\t").option("header", True).csv(path)
+    return recordings.tab_delimited(spark, path, ["event_id", "value"], "event_id long, event_type string, value double")
+
+
+@query(f"SELECT * FROM ({_BY_TYPE}) UNION ALL SELECT * FROM ({_BY_TYPE})")
+def s10_append(spark, sf):
+    path = recordings.work_path(spark, "report")
+    for _ in range(2):
+        recordings.append_report(by_type(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query(_BY_TYPE)
+def s11_export(spark, sf):
+    path = recordings.work_path(spark, "csv")
+    recordings.export_csv(by_type(spark, sf), path)
+    return spark.read.option("header", True).schema("event_type string, n long, most double").csv(path)
+
+
+@query("SELECT user_id::VARCHAR AS path, count(*) AS n FROM events WHERE user_id % 7 <> 0 GROUP BY user_id")
+def s14_readable(spark, sf):
+    """Every seventh file's header is cut short; such files are found and left out."""
+    wav = recordings.with_wav(series(spark, sf).withColumn("path", F.col("file").cast("string")), "values", 250)
+    broken = wav.withColumn("content", F.when(F.col("file") % 7 == 0, F.substring("content", 1, 30)).otherwise(F.col("content")))
+    return recordings.readable(recordings.read(broken)).select("path", "n")

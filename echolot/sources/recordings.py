@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import struct
+import tempfile
 import uuid
 import wave
 from collections.abc import Iterator
@@ -22,6 +23,18 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Unset, local masters get one of their own; clusters must name one."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="echolot-")
+        sc.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/echolot/{tag}-{uuid.uuid4().hex}"
+
+
 def duration_from_size(length: Column, fs: int, bytes_per_sample: int = 2, channels: int = 1) -> Column:
     """No read."""
     return (length - 44) / (bytes_per_sample * channels) / fs
@@ -169,6 +182,11 @@ def unprocessed(files: DataFrame, done: DataFrame, key: str = "path") -> DataFra
     return files.join(done.select(key).distinct(), key, "left_anti")
 
 
+def readable(recordings: DataFrame) -> DataFrame:
+    """The recordings that could be read."""
+    return recordings.where("fail_comment is null")
+
+
 def append_report(df: DataFrame, path: str) -> None:
     """S10"""
     df.write.mode("append").parquet(path)

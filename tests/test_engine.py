@@ -357,3 +357,31 @@ def test_as_of_in_slices_with_null_times_and_values(spark):
         got = {r["id"]: r["found"] for r in matching.as_of(left, right, [], "t", "u", "v", slice_us=width).collect()}
         assert got == {0: None, 1: None, 2: 10, 3: 12, 4: 12}
     assert matching.as_of(left.limit(0), right.limit(0), [], "t", "u", "v", slice_us=1).collect() == []
+
+
+def test_extreme_score_of_an_array_equals_that_of_rows(spark):
+    rng = np.random.default_rng(3)
+    for x in (rng.random(400), np.r_[rng.random(300) * 1e-4, rng.random(20)], np.ones(5)):
+        df = spark.createDataFrame([(1, float(v)) for v in x], "file long, value double")
+        assert abs(metrics.extreme_score(df, "value", ["file"]).first()["score"] - dsp.extreme_score(x)) < 1e-6
+
+
+def test_event_segments():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=6000) * 1e-3
+    x[2000:4000] += 3 * rng.normal(size=2000)
+    got = dsp.event_segments(x, 50, 1, 2)
+    assert [a for a, _ in got][0] == 1 and got[-1][1] == len(x) - 1
+    for edge in (2000, 4000):
+        assert any(abs(a - edge) <= 60 for a, _ in got)
+    assert all(b == min(c - 1 + 100, len(x)) for (_, b), (c, _) in zip(got, got[1:], strict=False))
+    assert dsp.event_segments(rng.normal(size=6000), 50, 1, 2) == [(1, 6000)]
+    assert dsp.event_segments(np.zeros(10), 50, 1, 2) == [(1, 10)] and dsp.event_segments(np.zeros(0), 50, 1, 2) == [(1, 0)]
+    assert dsp.moving_mean(np.arange(4.0), 2).tolist() == [0, 0.5, 1.5, 2.5]
+
+
+def test_overlap_segments(spark):
+    changes = spark.createDataFrame([(1, 5), (1, 5), (1, 9), (1, 40), (2, 3)], "file long, place long")
+    lengths = spark.createDataFrame([(1, 10), (2, 1), (3, 4)], "file long, n long")
+    got = sorted(map(tuple, intervals.overlap_segments(changes, lengths, ["file"], "place", "n", 3).collect()))
+    assert got == [(1, 1, 7), (1, 5, 10), (1, 9, 9), (3, 1, 3)]
