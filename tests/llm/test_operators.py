@@ -654,6 +654,24 @@ def test_license_scan_finds_wrapped_notices(spark):
     assert license_scan.scan(spark.createDataFrame([(1, apart)], "doc_id long, text string")).first()["labels"] == ""
 
 
+def test_license_scan_finds_whole_licenses(spark):
+    import textwrap
+
+    whole = {label: text for label, text in license_scan.TEMPLATES if len(text) > 300}
+    assert set(whole) == {"mit", "bsd", "isc", "zlib", "apache", "gpl"}
+    given, want = [], []
+    for label, text in sorted(whole.items()):
+        words = text.split()
+        for share in (1.0, 0.93, 0.4):  # the last two fifths of a license hold too few of its tokens
+            part = " ".join(words[len(words) - int(share * len(words)):])
+            given.append((len(given), "Copyright (c) 2020 A. Nobody\n\n" + "\n".join(f"# {x}" for x in textwrap.wrap(part, 60)) + "\nimport os"))
+            want.append((label, share))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    for i, (label, share) in enumerate(want):
+        best = max((b["containment"] for b in got[i]["blocks"] if b["label"] == label), default=0.0)
+        assert (best == 1.0) if share == 1.0 else (best >= 0.8) if share > 0.9 else label not in {b["label"] for b in got[i]["blocks"]} or label == "gpl", (label, share, best)
+
+
 def test_pipeline(spark, labels):
     import corpus_pipeline
 
