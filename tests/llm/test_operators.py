@@ -151,6 +151,39 @@ def test_exact_dedup(docs, odd, clash):
     assert exact_dedup.exact_dedup_digests(odd.limit(0)).collect() == []
 
 
+def test_exact_dedup_moves_few_unique_texts(spark):
+    """Texts that stand alone don't shuffle, those with a common start neither, whatever the limit for broadcasts is."""
+    def moved():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    start = "a start of more than sixty-four bytes that every third text begins with, "
+    texts = [(start if k % 3 == 0 else "") + "".join(hashlib.sha256(f"{k} {j}".encode()).hexdigest() for j in range(40)) + "x" * (k % 250) for k in range(1000)]
+    texts += texts[:20]
+    df = spark.createDataFrame([(k, x, "en", "a", 1) for k, x in enumerate(texts)], DOCS)
+    limit, shuffled = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    try:
+        for at in ("-1", limit):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+            before = moved()
+            got = exact_dedup.exact_dedup_digests(df)
+            shuffled.append((moved() - before) / sum(map(len, texts)))
+            assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got.collect()} == {k: (k % 1000, 2 if k % 1000 < 20 else 1) for k in range(1020)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert max(shuffled) < 0.5 and max(shuffled) < 1.2 * min(shuffled), shuffled
+
+
+@pytest.mark.parametrize("most_blocks", [1, 2**20])
+def test_exact_dedup_filter_misses_no_group(spark, most_blocks):
+    keyed = spark.range(4000).selectExpr("id", "id % 3000 AS gid", "cast(concat('digit ', id % 3000) AS binary) AS digit")
+    groups = keyed.groupBy("gid", "digit").count().where("count > 1")
+    left = [r["id"] for r in exact_dedup.having_groups(keyed, groups, ["gid", "digit"], most_blocks).collect()]
+    assert len(left) == len(set(left)) and set(left) >= {k for k in range(4000) if k % 3000 < 1000}
+    assert most_blocks == 1 or len(left) < 2200
+
+
 def test_packing(docs, odd, clash):
     enc = packing.encoder("word_bpe_49k.json")
     for df, given in both(docs, odd):
